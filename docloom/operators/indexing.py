@@ -71,7 +71,11 @@ def doc_length(length_chars: int | None = None) -> Column:
 def exploded_terms(docs: DataFrame, terms: Column | None = None, only: DataFrame | None = None, *carry: Column) -> DataFrame:
     """(doc_idx, term) occurrences.  ``only`` (a ``term`` relation, typically the
     terms of a query batch) filters occurrences before anything is grouped."""
-    ex = docs.select("doc_idx", *carry, F.explode(tx.tokens("text") if terms is None else terms).alias("term"))
+    # token array and carried values first: an expression next to explode() would
+    # be evaluated once per exploded row
+    base = docs.select("doc_idx", *carry, (tx.tokens("text") if terms is None else terms).alias("_t"))
+    kept = [c for c in base.columns if c != "_t"]
+    ex = base.select(*kept, F.explode("_t").alias("term"))
     return ex.join(only.select("term").distinct(), "term", "left_semi") if only is not None else ex
 
 
@@ -138,16 +142,16 @@ def tfidf_index(docs: DataFrame) -> Relations:
     return {"docs": doc_records(docs), "postings": postings, "vocab": vocab}
 
 
-def phrase_index(docs: DataFrame) -> Relations:
+def phrase_index(docs: DataFrame, only: DataFrame | None = None) -> Relations:
     toks = tx.tokens("text")
     grams = F.concat(tx.word_ngrams(toks, 2), tx.word_ngrams(toks, 3))
-    postings = tf_postings(docs, grams).withColumnRenamed("term", "phrase")
+    postings = tf_postings(docs, grams, only).withColumnRenamed("term", "phrase")
     vocab = postings.groupBy("phrase").agg(F.count("*").alias("df"))
     return {"docs": doc_records(docs), "postings": postings, "vocab": vocab}
 
 
-def char_index(docs: DataFrame) -> Relations:
-    postings = tf_postings(docs, tx.char_ngrams(tx.tokens("text"))).withColumnRenamed("term", "gram")
+def char_index(docs: DataFrame, only: DataFrame | None = None) -> Relations:
+    postings = tf_postings(docs, tx.char_ngrams(tx.tokens("text")), only).withColumnRenamed("term", "gram")
     vocab = postings.groupBy("gram").agg(F.count("*").alias("df"))
     return {"docs": doc_records(docs), "postings": postings, "vocab": vocab}
 
@@ -166,8 +170,7 @@ def fielded_terms(docs: DataFrame) -> DataFrame:
         parts.append(tagged("section_name", tx.tokens(F.array_join("section_names", " "))))
     if "entities" in cols:
         for field, attr in (("entity_type", "entity_type"), ("entity_text", "text"), ("entity_normalized", "normalized_value")):
-            joined = F.array_join(F.transform("entities", lambda e, a=attr: e[a]), " ")
-            parts.append(tagged(field, tx.tokens(joined)))
+            parts.append(tagged(field, tx.tokens(F.array_join(F.col("entities").getField(attr), " "))))
     if any(f in cols for f in FLAGS):
         parts.append(tagged("clinical_flag", tx.tokens(F.translate(F.array_join(truthy_flags(cols), " "), "_", " "))))
     return docs.select("doc_idx", F.inline(F.concat(*parts)))
@@ -391,6 +394,11 @@ def unit_class(unit: Column, strip_slash: bool = True) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), u), F.lit("generic"))
 
 
+def value_key(v: Column) -> Column:
+    """Values equal to 3 digits count as one (large ones have no digits left)."""
+    return F.when(v < 1e12, quantize(v, 3)).otherwise(v)
+
+
 def numeric_index(docs: DataFrame, parity: bool = False) -> Relations:
     """Numbers with unit, class and surrounding text, one row per distinct
     (unit, value rounded to 3 digits) of a document, plus numbers in entities.
@@ -403,7 +411,7 @@ def numeric_index(docs: DataFrame, parity: bool = False) -> Relations:
     num = F.regexp_extract("m", tx.NUMBER_UNIT, 1)
     ex = ex.select("doc_idx", "i", num.cast("double").alias("numeric_value"),
                    F.lower(F.regexp_extract("m", tx.NUMBER_UNIT, 2)).alias("unit"))
-    first = ex.groupBy("doc_idx", F.round("numeric_value", 3).alias("_v"), "unit").agg(
+    first = ex.groupBy("doc_idx", value_key(F.col("numeric_value")).alias("_v"), "unit").agg(
         F.min_by("numeric_value", "i").alias("numeric_value"), F.min("i").alias("i"))
     p = first.select("doc_idx", "numeric_value", "unit", unit_class(F.col("unit"), not parity).alias("context_type"),
                      tx.magnitude_class(F.col("numeric_value")).alias("magnitude_class"))
@@ -411,7 +419,7 @@ def numeric_index(docs: DataFrame, parity: bool = False) -> Relations:
         e = docs.select("doc_idx", F.inline("entities"))
         norm = F.coalesce("normalized_value", "text", F.lit(""))
         e = e.withColumn("numeric_value", F.regexp_extract(norm, "([0-9]+(?:[.][0-9]+)?)", 1).try_cast("double"))
-        e = e.filter(F.col("numeric_value").isNotNull()).groupBy("doc_idx", "entity_type", F.round("numeric_value", 3).alias("_v")).agg(
+        e = e.filter(F.col("numeric_value").isNotNull()).groupBy("doc_idx", "entity_type", value_key(F.col("numeric_value")).alias("_v")).agg(
             F.min("numeric_value").alias("numeric_value"))
         kind = F.when(F.col("entity_type") == "vital", "vital").when(F.col("entity_type") == "lab_result", "lab").otherwise("entity")
         p = p.unionByName(e.select("doc_idx", "numeric_value", F.col("entity_type").alias("unit"), kind.alias("context_type"),

@@ -174,9 +174,17 @@ def tfidf(queries: DataFrame, index: Relations, k: int | None = 10, filters: dic
     return cut(s.groupBy("query_id", "doc_idx").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")), k, index.get("docs"), filters)
 
 
-def phrase_ngram(queries: DataFrame, index: Relations, k: int | None = 10, filters: dict | None = None) -> DataFrame:
+def query_phrases(queries: DataFrame) -> DataFrame:
     toks = tx.tokens("query")
-    qp = query_terms(queries, F.concat(tx.word_ngrams(toks, 2), tx.word_ngrams(toks, 3))).withColumnRenamed("term", "phrase")
+    return query_terms(queries, F.concat(tx.word_ngrams(toks, 2), tx.word_ngrams(toks, 3)))
+
+
+def query_char_grams(queries: DataFrame) -> DataFrame:
+    return query_terms(queries, tx.char_ngrams(tx.tokens("query")))
+
+
+def phrase_ngram(queries: DataFrame, index: Relations, k: int | None = 10, filters: dict | None = None) -> DataFrame:
+    qp = query_phrases(queries).withColumnRenamed("term", "phrase")
     words = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
     s = index["postings"].join(qp, "phrase").groupBy("query_id", "doc_idx").agg(
         F.sum(F.col("qtf") * words * F.col("tf")).cast("double").alias("score"))
@@ -184,7 +192,7 @@ def phrase_ngram(queries: DataFrame, index: Relations, k: int | None = 10, filte
 
 
 def char_ngram(queries: DataFrame, index: Relations, k: int | None = 10, filters: dict | None = None) -> DataFrame:
-    qg = query_terms(queries, tx.char_ngrams(tx.tokens("query"))).withColumnRenamed("term", "gram")
+    qg = query_char_grams(queries).withColumnRenamed("term", "gram")
     qg = qg.withColumn("total", F.sum("qtf").over(Window.partitionBy("query_id")))
     s = index["postings"].join(qg, "gram").groupBy("query_id", "doc_idx", "total").agg(
         F.sum(F.least("tf", "qtf")).alias("shared"))

@@ -75,13 +75,13 @@ def _(spark, d):
     return ix.phrase_index(inp.texts(spark, d))["postings"].select("doc_idx", "phrase", "tf")
 
 
-_CHAR = f"""ds as (select doc_id as doc_idx, array_to_string({S.toks('text')},' ') as s from documents),
+_CHAR = f"""ds as (select doc_id as doc_idx, string_split(array_to_string({S.toks('text')},' '),'') as s from documents),
 ch as (select doc_idx, gram, count(*) as tf from (select doc_idx, unnest(list_concat({S.chargrams('s', 3)}, {S.chargrams('s', 4)}, {S.chargrams('s', 5)})) as gram from ds) group by 1,2)"""
 
 
-@query("i6_char", S.select([_CHAR], "select doc_idx, gram, tf from ch"))
+@query("i6_char", S.select([_CHAR], "select gram, count(*) as df from ch group by 1"))
 def _(spark, d):
-    return ix.char_index(inp.texts(spark, d))["postings"].select("doc_idx", "gram", "tf")
+    return ix.char_index(inp.texts(spark, d))["vocab"]
 
 
 _FIELDED = f"""fl as (select field, term, doc_idx, count(*) as tf from (
@@ -141,9 +141,10 @@ def _(spark, d):
 
 _UNIT_CASE = "case " + " ".join(f"when u = '{k}' then '{v}'" for k, v in ix.UNIT_CLASS.items()) + " else 'generic' end"
 _MAG = "case when v < 1 then 'sub_unit' when v < 10 then 'single_digit' when v < 100 then 'tens' when v < 1000 then 'hundreds' else 'thousands_plus' end"
-_NUMERIC = f"""nm as (select doc_id as doc_idx, unnest(regexp_extract_all(text, '([0-9]+(?:[.][0-9]+)?)[ \\t\\n\\r\\f]*([a-zA-Z/%]+)?')) as m from documents),
-nu as (select distinct doc_idx, round(regexp_extract(m,'[0-9]+(?:[.][0-9]+)?')::double,3) as v, lower(regexp_extract(m,'[a-zA-Z/%]+$')) as unit from nm),
-np as (select doc_idx, v as numeric_value, unit, {_UNIT_CASE} as context_type, {_MAG} as magnitude_class from (select *, replace(unit,'/','') as u from nu))"""
+_NUMERIC = f"""nm as (select doc_id as doc_idx, unnest(m) as m, unnest(range(0,len(m))) as i from (select doc_id, regexp_extract_all(text, '([0-9]+(?:[.][0-9]+)?)[ \\t\\n\\r\\f]*([a-zA-Z/%]+)?') as m from documents)),
+nu as (select doc_idx, i, regexp_extract(m,'[0-9]+(?:[.][0-9]+)?')::double as v, lower(regexp_extract(m,'[a-zA-Z/%]+$')) as unit from nm),
+nv as (select doc_idx, unit, arg_min(v, i) as v from nu group by doc_idx, unit, case when v < 1e12 then floor(v*1000+0.5)/1000 else v end),
+np as (select doc_idx, v as numeric_value, unit, {_UNIT_CASE} as context_type, {_MAG} as magnitude_class from (select *, replace(unit,'/','') as u from nv))"""
 
 
 @query("i17_numeric", S.select([_NUMERIC], "select * from np"))
@@ -203,17 +204,19 @@ phs as (select query_id, doc_idx, sum(qtf*len(string_split(phrase,' '))*tf)::dou
 
 @query("r4_phrase", _ranked([_PHRASE, _QPH], "phs"))
 def r4_phrase(spark, d):
-    return rt.phrase_ngram(inp.queries(spark, d), ix.phrase_index(inp.texts(spark, d)), 10)
+    q = inp.queries(spark, d)
+    return rt.phrase_ngram(q, ix.phrase_index(inp.texts(spark, d), rt.query_phrases(q)), 10)
 
 
-_QCH = f"""qs as (select item_id as query_id, array_to_string({S.toks('text')},' ') as s from benchmark),
+_QCH = f"""qs as (select item_id as query_id, string_split(array_to_string({S.toks('text')},' '),'') as s from benchmark),
 qc as (select query_id, gram, count(*) as qtf, sum(count(*)) over (partition by query_id) as total from (select query_id, unnest(list_concat({S.chargrams('s', 3)}, {S.chargrams('s', 4)}, {S.chargrams('s', 5)})) as gram from qs) group by 1,2),
 chs as (select query_id, doc_idx, {S.q6('sum(least(tf,qtf))::double/any_value(total)')} as score from qc join ch using (gram) group by 1,2)"""
 
 
 @query("r5_char", _ranked([_CHAR, _QCH], "chs"))
 def r5_char(spark, d):
-    return rt.char_ngram(inp.queries(spark, d), ix.char_index(inp.texts(spark, d)), 10)
+    q = inp.queries(spark, d)
+    return rt.char_ngram(q, ix.char_index(inp.texts(spark, d), rt.query_char_grams(q)), 10)
 
 
 _FW = "case field " + " ".join(f"when '{k}' then {v}::double" for k, v in rt.FIELD_WEIGHTS.items()) + " else 1::double end"
@@ -235,9 +238,14 @@ def r7_entity(spark, d):
     return rt.entity(inp.queries(spark, d), ix.entity_index(inp.units(spark, d)), 10)
 
 
-@query("r8_section", _ranked([S.UNITS, _SECPAGE, f"""ps as (select doc_idx, sum(case when field in ('primary_section','section_name') then 2.0 else 1.0 end)::double as s from sp
- where (field in ('primary_section','section_name') and lower(value) in ('src3','src7')) or (field = 'page' and value in ('2','5')) group by 1),
- rs as (select item_id as query_id, doc_idx, {S.q6('s + clinical_quality_score')} as score from ps join units using (doc_idx), benchmark)"""], "rs"))
+_R8 = f"""wp as (select *, row_number() over () as pid, ((field in ('primary_section','section_name') and lower(value) in ('src3','src7')) or (field = 'page' and value in ('2','5'))) as wanted,
+  case when field in ('primary_section','section_name') then 2.0 else 1.0 end as w from sp),
+wt as (select pid, unnest({S.toks('value')}) as term from wp),
+hq as (select item_id as query_id, pid from wp, benchmark where wanted union select query_id, pid from wt join qt using (term)),
+rs as (select query_id, doc_idx, {S.q6('sum(w)::double + any_value(clinical_quality_score)')} as score from hq join wp using (pid) join units using (doc_idx) group by 1,2)"""
+
+
+@query("r8_section", _ranked([S.UNITS, S.QT, _SECPAGE, _R8], "rs"))
 def r8_section(spark, d):
     return rt.section_page(inp.queries(spark, d), ix.section_page_index(inp.units(spark, d)), 10, sections=["src3", "src7"], pages=[2, 5])
 
@@ -282,7 +290,7 @@ def r15_boost(spark, d):
 
 _VARIANTS = "vq as (select item_id as query_id, unnest(range(0,len(vs)))::int as variant, unnest(vs) as q from (select item_id, case when trim(text,' ') = array_to_string({t},' ') then [trim(text,' ')] else list_concat([trim(text,' ')], {exp}, case when len({t})>0 then [array_to_string({t},' ')] else [] end) end as vs from benchmark))".format(
     t=S.toks("text"),
-    exp="list_filter([" + ",".join(f"case when contains(lower(trim(text,' ')),'{k}') then trim(text,' ')||' {v}' end" for k, v in rt.QUERY_EXPANSIONS.items()) + "], x -> x is not null)")
+    exp="list_filter([" + ",".join(f"case when contains(lower(trim(text,' ')),'{k}') then trim(text,' ')||' {v}' end" for k, v in rt.QUERY_EXPANSIONS.items()) + "], lambda x: x is not null)")
 _VQT = f"vqt as (select query_id, variant, term, count(*) as qtf from (select query_id, variant, unnest({S.toks('q')}) as term from vq) group by 1,2,3)"
 
 
@@ -322,8 +330,8 @@ def r19_adv_fusion(spark, d):
     only = qterms(spark, d)
     return rt.fuse([
         bm25_base(spark, d, 30), rt.tfidf(q, ix.tfidf_index(t), 30), rt.keyword_exact(q, ix.keyword_index(t, only), 30),
-        rt.fielded_lexical(q, ix.fielded_index(u), 30), rt.phrase_ngram(q, ix.phrase_index(t), 30),
-        rt.char_ngram(q, ix.char_index(t), 30), rt.boolean_set(q, ix.boolean_index(u), 30)], 10)
+        rt.fielded_lexical(q, ix.fielded_index(u), 30), rt.phrase_ngram(q, ix.phrase_index(t, rt.query_phrases(q)), 30),
+        rt.char_ngram(q, ix.char_index(t, rt.query_char_grams(q)), 30), rt.boolean_set(q, ix.boolean_index(u), 30)], 10)
 
 
 @query("r21_mmr")
@@ -349,9 +357,9 @@ def r24_expansion(spark, d):
     return rt.variant_fusion(v, ix.bm25_index(inp.texts(spark, d), only), 10, 20)
 
 
-_EFUS = f"""et0 as (select item_id as query_id, regexp_extract_all(text,'\\b[A-Z][a-z]{{2,}}(?: [A-Z][a-z]{{2,}})*\\b') as caps, list_filter({S.toks('text')}, x -> length(x) >= 4) as lt from benchmark),
-et1 as (select query_id, unnest(list_transform(list_concat(ordc, ordt)[1:8], x -> lower(x))) as term, unnest(range(0, len(list_concat(ordc, ordt)[1:8]))) as term_no from (
- select query_id, list_filter(caps, (x,i) -> list_position(caps,x)=i) as ordc, list_filter(lt, (x,i) -> list_position(lt,x)=i and not list_contains(list_transform(caps, c -> lower(c)), x)) as ordt from et0)),
+_EFUS = f"""et0 as (select item_id as query_id, regexp_extract_all(text,'\\b[A-Z][a-z]{{2,}}(?: [A-Z][a-z]{{2,}})*\\b') as caps, list_filter({S.toks('text')}, lambda x: length(x) >= 4) as lt from benchmark),
+et1 as (select query_id, unnest(list_transform(list_concat(ordc, ordt)[1:8], lambda x: lower(x))) as term, unnest(range(0, len(list_concat(ordc, ordt)[1:8]))) as term_no from (
+ select query_id, list_filter(caps, lambda x, i: list_position(caps,x)=i) as ordc, list_filter(lt, lambda x, i: list_position(lt,x)=i and not list_contains(list_transform(caps, lambda c: lower(c)), x)) as ordt from et0)),
 ev as (select distinct normalized_value as value, doc_idx from ents),
 em as (select term, term as value from (select distinct term from et1) t where exists (select 1 from ev where value = term)),
 ef as (select distinct t.term, v.value from (select distinct term from et1 where term not in (select term from em)) t join (select distinct value from ev) v on contains(v.value, t.term) or contains(t.term, v.value)),

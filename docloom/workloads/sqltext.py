@@ -14,16 +14,18 @@ def toks(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"list_filter(string_split_regex({x}, '[ \\t\\n\\r\\f]+'), w -> w <> '')"
+    return f"list_filter(string_split_regex({x}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
 
 
 def ngrams(t: str, n: int) -> str:
     joined = " || ' ' || ".join(f"{t}[i+{j}]" for j in range(n))
-    return f"list_transform(range(1, len({t})-{n}+2), i -> {joined})"
+    return f"list_transform(range(1, len({t})-{n}+2), lambda i: {joined})"
 
 
 def chargrams(s: str, n: int) -> str:
-    return f"list_transform(range(1, length({s})-{n}+2), i -> substr({s}, i, {n}))"
+    """``s`` is a list of single characters."""
+    joined = " || ".join(f"{s}[i+{j}]" for j in range(n))
+    return f"list_transform(range(1, len({s})-{n}+2), lambda i: {joined})"
 
 
 TOK = f"tok as (select doc_id as doc_idx, unnest({toks('text')}) as term from documents)"
