@@ -261,7 +261,7 @@ def packed_units(docs: DataFrame, unit: str = "sentence", size: int = 512, overl
     if unit == "sentence":
         parts = sentences(text_col)
     elif unit == "paragraph":
-        parts = F.filter(F.transform(F.split(F.col(text_col), "\n[ \\t]*\n"), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(F.col(text_col), "\n[ \\t]*\n"), lambda p: F.trim(p)), lambda p: p != "")
     else:
         raise ValueError("unit must be sentence or paragraph")
     units = F.transform(parts, lambda p: F.struct(p.alias("u"), F.size(words(p)).alias("n")))

@@ -282,7 +282,7 @@ def date_values(docs: DataFrame) -> Column:
         parts.append(F.coalesce(F.transform(dates, lambda e: F.coalesce(e["normalized_value"], e["text"], F.lit(""))), empty))
     raw = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?<![0-9A-Za-z_])(?:" + tx.DATE + ")(?![0-9A-Za-z_])"), F.lit(0))
     parts.append(raw)
-    trimmed = F.transform(F.concat(*parts), F.trim)
+    trimmed = F.transform(F.concat(*parts), lambda v: F.trim(v))
     return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
 
 
