@@ -7,6 +7,8 @@ until entities are de-duplicated.
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +154,8 @@ def classify_documents(first_pages: DataFrame) -> DataFrame:
     scored = []
     for i, (name, pats) in enumerate(V.DOCUMENT_TYPES.items()):
         s = sum((F.when(F.col("_b").rlike(p), w).otherwise(0.0) for p, w in pats), F.lit(0.0))
+        # most documents match nothing of a type: one alternation decides that
+        s = F.when(F.col("_b").rlike(ALT(f"(?:{p})" for p, _ in pats)), s).otherwise(0.0)
         scored.append(F.struct(quantize(F.least(F.lit(1.0), s)).alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("name")))
     d = first_pages.withColumn("_b", body).select("document_id", F.array_max(F.array(*scored)).alias("best"))
     none = F.col("best.score") <= 0
@@ -167,10 +171,10 @@ def detect_section(lines: DataFrame, aliases: dict[str, list[str]] | None = None
     first: dict[str, str] = {}
     for k, a in flat:
         first.setdefault(a, k)
-    exact = F.create_map(*[F.lit(x) for a, k in first.items() for x in (a, k)])
-    ordered = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a")) for k, a in flat])
-    words = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(w) for w in sorted(set(_alpha(a)))]).alias("w"), F.lit(-i).alias("o"))
-                      for i, (k, a) in enumerate(flat) if _alpha(a)])
+    exact = constant(first, "map<string,string>")
+    ordered = constant([{"k": k, "a": a} for k, a in flat], "array<struct<k:string,a:string>>")
+    words = constant([{"k": k, "w": sorted(set(_alpha(a))), "o": -i} for i, (k, a) in enumerate(flat) if _alpha(a)],
+                     "array<struct<k:string,w:array<string>,o:int>>")
     d = lines.withColumn("norm", tx.normalize_heading("text"))
     t = F.trim("text")
     caps = (F.upper(t) == t) & t.rlike("[A-Z]")
@@ -191,9 +195,12 @@ def detect_section(lines: DataFrame, aliases: dict[str, list[str]] | None = None
     return d.withColumn("section_key", key).withColumn("section_confidence", conf).drop("norm", "headlike", "nw", "_eq", "_in", "_fz")
 
 
-def _alpha(s: str) -> list[str]:
-    import re
+def constant(value: object, ddl: str) -> Column:
+    """A lookup literal as one foldable expression (folded once by Catalyst)."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
 
+def _alpha(s: str) -> list[str]:
     return re.findall("[a-z]+", s)
 
 
