@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions.scores import quantize
 from docloom.operators import vocab as V
+from docloom.sources.io import by_key
 
 ALT = "|".join
 
@@ -207,7 +208,7 @@ def _alpha(s: str) -> list[str]:
 def assign_sections(lines: DataFrame, **kw) -> DataFrame:
     """Carry the last detected heading forward inside each document."""
     w = Window.partitionBy("document_id").orderBy("element_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = detect_section(lines, **kw)
+    d = by_key(detect_section(lines, **kw), "document_id")
     return d.withColumn("section_name", F.last("section_key", ignorenulls=True).over(w)).withColumn(
         "section_id", F.count("section_key").over(w))
 

@@ -79,6 +79,14 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     return df.repartition(cores * factor)
 
 
+def by_key(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition for grouping on ``cols`` when costly per-row work follows.
+    A partition count given by hand is kept by AQE (it would merge small but
+    CPU-heavy partitions) and the grouping that follows needs no exchange."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *cols)
+
+
 def list_strategies(df: DataFrame, col: str = "strategy_name") -> DataFrame:
     return df.select(col).distinct()
 

@@ -1,6 +1,6 @@
 """Registered queries over the test tables."""
 
-from docloom.workloads import clinical, lexical, rerank, structure  # noqa: F401
+from docloom.workloads import clinical, lexical, reports, rerank, structure  # noqa: F401
 from docloom.workloads.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,7 @@ from docloom.functions.scores import quantize
 from docloom.operators import enrichment as en
 from docloom.operators import extraction as xt
 from docloom.operators import vocab as V
+from docloom.sources.io import by_key, checkpoint
 from docloom.workloads import inputs as inp
 from docloom.workloads import sqltext as S
 from docloom.workloads.registry import query
@@ -54,7 +55,7 @@ nsec as (select *exclude(k), last_value(k ignore nulls) over (partition by docum
         for i, (n, pats) in enumerate(V.DOCUMENT_TYPES.items())) + ")"],
     "select document_id, case when max(s) <= 0 then 'Unknown' else arg_max(t, s*1000+o) end as document_type, case when max(s) <= 0 then 0 else floor(least(0.97, 0.5+max(s))*1e6+0.5)/1e6 end as confidence from sc group by 1"))
 def _(spark, d):
-    t = note_lines(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element_id", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    t = by_key(note_lines(spark, d), "document_id").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element_id", "text"))), lambda r: r["text"]), "\n").alias("text"))
     return xt.classify_documents(t)
 
 
@@ -171,7 +172,7 @@ def _(spark, d):
 def note_chunks(spark, d):
     """Page chunks of the notes with their source elements."""
     n = note_lines(spark, d)
-    return n.groupBy("document_id", "page_number").agg(
+    return by_key(n, "document_id").groupBy("document_id", "page_number").agg(
         F.array_sort(F.collect_list("element_id")).alias("source_element_ids"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element_id", "text"))), lambda r: r["text"]), "\n").alias("text"),
     ).select("document_id", F.col("page_number").cast("bigint").alias("chunk_id"), F.col("page_number").alias("page_start"),
@@ -182,7 +183,8 @@ _PAGE = """np as (select document_id, page_number::bigint as chunk_id, string_ag
 
 
 def gathered(spark, d):
-    return en.gather_entities(note_chunks(spark, d), entities(spark, d))
+    """Entities are read several times here, so they are stored once first."""
+    return en.gather_entities(note_chunks(spark, d), checkpoint(entities(spark, d), inp.scratch(spark)))
 
 
 _VIT = "vt as (select document_id, element_id//5 as chunk_id, entity_type, normalized_value from (" + _rule_sql({"vital"}) + ") group by all)"
