@@ -76,7 +76,11 @@ def exploded_terms(docs: DataFrame, terms: Column | None = None, only: DataFrame
     base = docs.select("doc_idx", *carry, (tx.tokens("text") if terms is None else terms).alias("_t"))
     kept = [c for c in base.columns if c != "_t"]
     ex = base.select(*kept, F.explode("_t").alias("term"))
-    return ex.join(only.select("term").distinct(), "term", "left_semi") if only is not None else ex
+    if only is None:
+        return ex
+    # few occurrences are left: placing them by unit once lets counting, scoring
+    # and the per-unit sums of a query batch run without another exchange
+    return ex.join(only.select("term").distinct(), "term", "left_semi").repartition("doc_idx")
 
 
 def tf_postings(docs: DataFrame, terms: Column | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -85,7 +89,10 @@ def tf_postings(docs: DataFrame, terms: Column | None = None, only: DataFrame |
 
 def document_frequency(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Distinct terms inside the row first: no per-document shuffle."""
-    return exploded_terms(docs, tx.distinct_tokens("text"), only).groupBy("term").agg(F.count("*").alias("df"))
+    ex = exploded_terms(docs, tx.distinct_tokens("text"))
+    if only is not None:
+        ex = ex.join(only.select("term").distinct(), "term", "left_semi")
+    return ex.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25_index(docs: DataFrame, only: DataFrame | None = None, length_chars: int | None = None) -> Relations:
@@ -333,12 +340,20 @@ def minhash_signatures(
     shingle and seed.  ``md5`` digests ``seed:shingle`` for each seed and
     ``blake2b`` does so with 64-bit BLAKE2b.  The minima are plain aggregates,
     so partial minima combine before the shuffle."""
-    sh = docs.select("doc_idx", F.explode(shingles(tx.tokens("text"), shingle_size)).alias("sh"))
     seeds = range(signature_size)
     if family == "affine":
-        sh = sh.select("doc_idx", (tx.md5_hash60(F.col("sh"), 0) % MERSENNE31).alias("h"))
-        mins = [F.min((F.col("h") * affine_seed(s)[0] + affine_seed(s)[1]) % MERSENNE31).alias(f"m{s}") for s in seeds]
-    elif family == "md5":
+        # one unit is one row: its minima need neither an explode nor a shuffle
+        d = docs.select("doc_idx", shingles(tx.tokens("text"), shingle_size).alias("sh"))
+        d = d.select("doc_idx", F.size("sh").cast("bigint").alias("shingle_count"),
+                     F.transform("sh", lambda x: tx.md5_hash60(x, 0) % MERSENNE31).alias("h"))
+
+        def least(s: int) -> Column:
+            m, c = affine_seed(s)
+            return F.coalesce(F.array_min(F.transform("h", lambda v: (v * m + c) % MERSENNE31)), F.lit(0)).cast("string")
+
+        return d.select("doc_idx", "shingle_count", F.array(*[least(s) for s in seeds]).alias("signature"))
+    sh = docs.select("doc_idx", F.explode(shingles(tx.tokens("text"), shingle_size)).alias("sh"))
+    if family == "md5":
         mins = [F.min(tx.md5_hash60(F.col("sh"), s)).alias(f"m{s}") for s in seeds]
     elif family == "blake2b":
         from docloom.functions.udfs import blake2b_hash64
