@@ -60,7 +60,8 @@ def listed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_urls(spark: SparkSession, d: str) -> DataFrame:
-    return urls.evaluate(captures(spark, d), listed(spark, d)).select("page_id", "fetched", "blocked", "n_entries", "by_key", "listed_since")
+    return urls.evaluate(captures(spark, d), listed(spark, d)).select(
+        "page_id", F.col("fetched").cast("string").alias("fetched"), "blocked", "n_entries", "by_key", F.col("listed_since").cast("string").alias("listed_since"))
 
 
 def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +162,7 @@ iv as (select * from (select k, on_, "day" a, coalesce(lead("day") over (partiti
 ks as (select distinct page_id, fetched, 'd:' || array_to_string(labels[i:], '.') k from (select *, unnest(range(1, greatest(len(labels), 2))) i from c where host <> '')
     union select distinct page_id, fetched, 'p:' || host || '/' || array_to_string(steps[1:i], '/') from (select *, unnest(range(1, len(steps) + 1)) i from c where host <> '')),
 m as (select page_id, count(*) n, min(k) k, arg_min(a, k) a from ks join iv using (k) where fetched >= a and fetched < b group by page_id)
-select c.page_id, fetched, m.k is not null blocked, coalesce(n, 0) n_entries, m.k by_key, a listed_since from c left join m using (page_id)
+select c.page_id, fetched::varchar fetched, m.k is not null blocked, coalesce(n, 0) n_entries, m.k by_key, a::varchar listed_since from c left join m using (page_id)
 """
 
 _WORDS9 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
