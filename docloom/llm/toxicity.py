@@ -1,15 +1,17 @@
 """Toxicity: class-conditional Kneser-Ney models.
 
 Bigrams of all labelled texts are counted in Spark.  Each class (toxic,
-ordinary) has an interpolated Kneser-Ney bigram model over its own word model,
-and both word models back off to one shared distribution: the number of
-different words that a word follows in either class.  A rare expression thus
-gets nearly the same probability from both, and only what one class says more
-often tells them apart.
+ordinary) has an interpolated Kneser-Ney bigram model over the continuation
+counts of its words (how many different words a word follows).  The back-off is
+shared: its weights come from the counts of both classes together, and below
+the words lies one uniform share of their common vocabulary.  A rare expression
+thus gets nearly the same probability from both, and only what one class says
+reliably more often tells them apart.
 
 A text is scored in passages of ``PASSAGE`` words by the difference of the two
-length-normalised log-likelihoods; the greatest passage and the whole text are
-turned into a probability by a logistic fit on labelled rows that the counts
+length-normalised log-likelihoods, where a pair counts once in a passage and
+once in a training text (junk repeats itself).  The greatest passage and the
+whole text are turned into a probability by a logistic fit on labelled rows that the counts
 left out.  The table of differences is held by every task up to
 ``HELD_ROWS`` rows; beyond, words are joined to it by a shuffle.  Both give the
 same scores.
@@ -34,7 +36,9 @@ from docloom.llm.common import cut, held_out, small_batches, stored, with_small
 
 PASSAGE = 48
 DISCOUNT = 0.75
-MIN_BIGRAM = 2  # a bigram met once in all is left to the word models
+MARGIN = 1.0  # what one class says up to e times as often is neutral
+BACK = 0.4  # least share of the shared back-off
+MIN_BIGRAM = 2  # a pair of fewer toxic counts is left to the word models
 HELD_ROWS = 8_000_000
 FIT_ROWS = 20_000  # rows of the logistic fit at most
 # Lower-cases A-Z and turns ASCII bytes that are no letter or digit into spaces.
@@ -54,13 +58,14 @@ def pair_keys(h: np.ndarray) -> np.ndarray:
 
 
 def bigram_counts(rows: DataFrame) -> DataFrame:
-    """(pair, n0, n1) of rows (text, y): counted per batch, then summed."""
+    """(pair, n0, n1) of rows (text, y): in how many texts of each class a pair
+    stands, counted per batch, then summed."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parts = []
             for k in (0, 1):
-                keys = [pair_keys(word_hashes(t)) for t in b["text"][b["y"] == k]]
+                keys = [np.unique(pair_keys(word_hashes(t))) for t in b["text"][b["y"] == k]]
                 v, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 zero = np.zeros(len(n), dtype=np.int32)
                 parts.append(pd.DataFrame({"pair": v, "n0": zero if k else n.astype(np.int32), "n1": n.astype(np.int32) if k else zero}))
@@ -71,34 +76,26 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
 
 def differences(pairs: DataFrame) -> DataFrame | None:
     """(kind, key, d): log P(toxic) - log P(ordinary) of what was met.  Kind 0:
-    a word in an unknown context; 1: the context's share of back-off; 2: a pair
-    in full (replaces 0 and 1).  None without both classes."""
+    a word by its continuation counts; kind 1: a pair (replaces its word).  A
+    word of neither class has the shared uniform share from both, so 0.  None
+    without both classes."""
     before, word = F.shiftrightunsigned("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
-    n = lambda k: F.sum(f"n{k}").alias(f"n{k}")
     kinds = lambda k: F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"t{k}")
-    w = cut(pairs.groupBy(word.alias("w")).agg(n(0), n(1), F.count("*").alias("types")))
-    total = w.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.expr("cast(n0 > 0 as long)")).alias("t0"),
-                  F.sum(F.expr("cast(n1 > 0 as long)")).alias("t1"), F.sum("types").alias("types"), F.count("*").alias("v")).first()
-    if not total.n0 or not total.n1:
+    less = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+    w = cut(pairs.groupBy(word.alias("w")).agg(kinds(0), kinds(1), F.count("*").alias("types")))
+    total = w.agg(F.sum(less("t0")).alias("t0"), F.sum(less("t1")).alias("t1"), F.sum("types").alias("types"), F.count("*").alias("v")).first()
+    if not total.t0 or not total.t1:
         return None
-    shared = (F.col("types") + 1) / (total.types + total.v + 1)
-
-    def p_word(k: int):
-        return (F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0)) + DISCOUNT * total[f"t{k}"] * shared) / total[f"n{k}"]
-
+    back = max(BACK, DISCOUNT * total.v / total.types)
+    p_word = lambda k: (1 - back) * less(f"t{k}") / total[f"t{k}"] + back / (total.v + 1)
     w = w.select("w", p_word(0).alias("p0"), p_word(1).alias("p1"))
-    ctx = pairs.groupBy(before.alias("c")).agg(n(0), n(1), kinds(0), kinds(1))
-    lam = lambda k: F.when(F.col(f"n{k}") > 0, DISCOUNT * F.col(f"t{k}") / F.col(f"n{k}")).otherwise(1.0)
-    ctx = cut(ctx.select("c", "n0", "n1", lam(0).alias("l0"), lam(1).alias("l1")))
-    full = pairs.filter(F.col("n0") + F.col("n1") >= MIN_BIGRAM).select("pair", F.col("n0").alias("b0"), F.col("n1").alias("b1"), before.alias("c"), word.alias("w"))
-    full = full.join(w, "w").join(ctx, "c")
-    p = lambda k: F.when(F.col(f"n{k}") > 0, F.greatest(F.col(f"b{k}") - DISCOUNT, F.lit(0)) / F.col(f"n{k}")).otherwise(0.0) + F.col(f"l{k}") * F.col(f"p{k}")
-    unseen = np.log(total.t1 / total.n1) - np.log(total.t0 / total.n0)
-    d = lambda x: F.coalesce(x, F.lit(0.0)).cast("float").alias("d")
-    return (w.select(F.lit(0).alias("kind"), F.col("w").alias("key"), d(F.log("p1") - F.log("p0")))
-            .unionByName(ctx.select(F.lit(1).alias("kind"), F.col("c").alias("key"), d(F.log("l1") - F.log("l0"))))
-            .unionByName(full.select(F.lit(2).alias("kind"), F.col("pair").alias("key"), d(F.log(p(1)) - F.log(p(0)))))
-            .unionByName(w.sparkSession.range(1).select(F.lit(3).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(float(unseen)).cast("float").alias("d"))))
+    ctx = pairs.groupBy(before.alias("c")).agg(F.sum(less("n0")).alias("s0"), F.sum(less("n1")).alias("s1"), F.sum(F.col("n0") + F.col("n1")).alias("n"), F.count("*").alias("t"))
+    ctx = ctx.filter("s0 > 0 and s1 > 0").select("c", "s0", "s1", F.greatest(F.lit(BACK), DISCOUNT * F.col("t") / F.col("n")).alias("back"))
+    full = pairs.filter(F.col("n1") >= MIN_BIGRAM).select("pair", "n0", "n1", before.alias("c"), word.alias("w")).join(w, "w").join(ctx, "c")
+    p = lambda k: (1 - F.col("back")) * less(f"n{k}") / F.col(f"s{k}") + F.col("back") * F.col(f"p{k}")
+    d = lambda x: (F.signum(x) * F.greatest(F.abs(x) - MARGIN, F.lit(0.0))).cast("float").alias("d")
+    return w.select(F.lit(0).alias("kind"), F.col("w").alias("key"), d(F.log("p1") - F.log("p0"))).unionByName(
+        full.select(F.lit(1).alias("kind"), F.col("pair").alias("key"), d(F.log(p(1)) - F.log(p(0)))))
 
 
 class Held:
@@ -106,36 +103,39 @@ class Held:
 
     def __init__(self, rows: pd.DataFrame) -> None:
         self.key, self.d = [], []
-        for k in (0, 1, 2, 3):
+        for k, kind in enumerate((np.uint32, np.int64)):
             part = rows[rows["kind"] == k].sort_values("key")
-            self.key.append(part["key"].to_numpy(dtype=np.uint32 if k in (0, 1) else np.int64))
-            self.d.append(part["d"].to_numpy(dtype=np.float32))
-        self.unseen = float(self.d[3][0])
-
-    def _find(self, k: int, keys: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.key[k]):
-            return np.full(len(keys), missing), np.zeros(len(keys), dtype=bool)
-        at = np.minimum(np.searchsorted(self.key[k], keys), len(self.key[k]) - 1)
-        ok = self.key[k][at] == keys
-        return np.where(ok, self.d[k][at], missing), ok
+            self.key.append(np.append(part["key"].to_numpy(dtype=kind), np.iinfo(kind).max))
+            self.d.append(np.append(part["d"].to_numpy(dtype=np.float32), np.float32(0)))
 
     def words(self, pair: np.ndarray) -> np.ndarray:
         """Difference of each word of many texts."""
-        full, ok = self._find(2, pair, 0.0)
-        rest = np.flatnonzero(~ok)
-        v, back = np.unique(pair[rest], return_inverse=True)
-        u = v.view(np.uint64)
-        one = self._find(0, (u & np.uint64(0xFFFFFFFF)).astype(np.uint32), self.unseen)[0] + self._find(1, (u >> np.uint64(32)).astype(np.uint32), 0.0)[0]
-        full[rest] = one[back]
-        return full
-
-
-def passages(d: np.ndarray) -> tuple[float, float]:
-    """Greatest mean difference of a passage, and that of the whole text."""
+        v, back = np.unique(pair, return_inverse=True)
+        out = np.zeros(len(v), dtype=np.float32)
+        for k, keys in enumerate(((v.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32), v)):
+            at = np.searchsorted(self.key[k], keys)
+            ok = self.key[k][at] == keys
+            out[ok] = self.d[k][at[ok]]
+        return out[back]
+
+
+def spread(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, passage numbers) of a whole text, each pair once in a passage."""
+    k = pair_keys(word_hashes(text))
+    p = np.arange(len(k)) // PASSAGE
+    at = np.unique(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64), return_index=True)[1]
+    at.sort()
+    return k[at], p[at]
+
+
+def passages(pair: np.ndarray, passage: np.ndarray, d: np.ndarray) -> tuple[float, float]:
+    """Greatest difference of a passage, and what speaks for toxic in the whole
+    text, each per word."""
     if not len(d):
         return 0.0, 0.0
-    cuts = np.arange(0, len(d), PASSAGE)
-    return float((np.add.reduceat(d, cuts) / PASSAGE).max()), float(d.mean())
+    cuts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    first = np.unique(pair, return_index=True)[1]
+    return float((np.add.reduceat(d.astype(np.float64), cuts) / PASSAGE).max()), float(np.maximum(d[first], 0).sum(dtype=np.float64) / (len(first) + 20))
 
 
 def measured(docs: DataFrame, diff: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
@@ -150,32 +150,25 @@ def measured(docs: DataFrame, diff: DataFrame, held_rows: int = HELD_ROWS) -> Da
         @F.pandas_udf("top double, whole double")
         def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
-                keys = [pair_keys(word_hashes(t)) for t in texts]
-                d = held.value.words(np.concatenate(keys)) if keys else np.zeros(0)
-                ends = np.cumsum([0, *map(len, keys)])
-                yield pd.DataFrame([passages(d[a:b]) for a, b in zip(ends, ends[1:])], columns=["top", "whole"])
+                keys = [spread(t) for t in texts]
+                d = held.value.words(np.concatenate([k for k, _ in keys])) if keys else np.zeros(0)
+                ends = np.cumsum([0, *(len(k) for k, _ in keys)])
+                yield pd.DataFrame([passages(k, p, d[a:b]) for (k, p), a, b in zip(keys, ends, ends[1:])], columns=["top", "whole"])
 
         return docs.withColumn("_m", tell("text")).select("*", "_m.*").drop("_m", "text")
 
-    @F.pandas_udf("array<struct<passage:int,pair:long,n:int>>")
-    def spread(texts: pd.Series) -> pd.Series:
-        def one(t):
-            k = pair_keys(word_hashes(t))
-            f = pd.DataFrame({"passage": np.arange(len(k)) // PASSAGE, "pair": k}).value_counts().reset_index(name="n")
-            return f.to_dict("records")
-
-        return texts.map(one)
+    @F.pandas_udf("array<struct<passage:int,pair:long>>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"passage": int(p), "pair": int(k)} for k, p in zip(*spread(t))])
 
-    rows = cut(docs.drop("text").withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", spread(docs["text"])))
-    each = rows.select("_row", F.explode("_t").alias("t")).select("_row", "t.*")
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", parts("text")).drop("text"))
+    each = rows.select("_row", F.explode("_t").alias("t")).select("_row", "t.*").withColumn("w", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
     part = lambda k, name: diff.filter(F.col("kind") == k).select(F.col("key").alias(name), F.col("d").alias(f"d{k}"))
-    unseen = float(diff.filter("kind = 3").first().d)
-    each = each.withColumn("w", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("c", F.shiftrightunsigned("pair", 32))
-    each = each.join(part(2, "pair"), "pair", "left").join(part(0, "w"), "w", "left").join(part(1, "c"), "c", "left")
-    d = F.coalesce("d2", F.coalesce("d0", F.lit(unseen)) + F.coalesce("d1", F.lit(0.0)))
-    got = each.groupBy("_row", "passage").agg(F.sum(d * F.col("n")).alias("s"), F.sum("n").alias("n"))
-    got = got.groupBy("_row").agg((F.max("s") / PASSAGE).alias("top"), (F.sum("s") / F.sum("n")).alias("whole"))
-    return rows.drop("_t").join(got, "_row", "left").fillna(0.0, ["top", "whole"]).drop("_row")
+    each = each.join(part(1, "pair"), "pair", "left").join(part(0, "w"), "w", "left").withColumn("d", F.coalesce("d1", "d0", F.lit(0.0)).cast("double"))
+    top = each.groupBy("_row", "passage").agg(F.sum("d").alias("s")).groupBy("_row").agg((F.max("s") / PASSAGE).alias("top"))
+    once = each.groupBy("_row", "pair").agg(F.max(F.greatest("d", F.lit(0.0))).alias("d"))
+    whole = once.groupBy("_row").agg((F.sum("d") / (F.count("*") + 20)).alias("whole"))
+    return rows.drop("_t").join(top, "_row", "left").join(whole, "_row", "left").fillna(0.0, ["top", "whole"]).drop("_row")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
