@@ -10,9 +10,9 @@ on the full sets.
 A group of copies never becomes a list of pairs.  Equal sets collapse to one
 class.  In each bucket every class is first compared with one hub only, the
 class with the most copies.  What the confirmed links connect needs no further
-comparison; between different components of a bucket a pair is compared only if
-it can reach the threshold: shingles that no other remaining member has bound
-its overlap from above, exactly.
+comparison; what stays outside its hub's main component is tested against the
+others under that hub inside a join, by a bound on the symmetric difference, and
+only pairs that can reach the threshold leave it to be confirmed.
 
 Defined cases: null or empty texts and texts without words have no shingles and
 link with nothing; one word is a shingle of its own; equal sets link; ids may be
@@ -38,6 +38,7 @@ from docloom.llm.components import components
 PERMUTATIONS = 100
 BAND = 5
 PERCENT = 80
+SKETCH = 4096  # bits
 ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -61,6 +62,11 @@ def shingle_hashes(text: str | None, size: int = 2) -> np.ndarray:
     return np.unique(out)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    odd = np.bincount((h >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class MinMax:
     def __init__(self, permutations: int = PERMUTATIONS, band: int = BAND, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
@@ -102,14 +108,16 @@ def signatures(docs: DataFrame, size: int, permutations: int, band: int) -> Data
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(set_key, s): full sets as sorted longs."""
+    """(set_key, s, sketch): full sets as sorted longs, and the parities of
+    their members in ``SKETCH`` cells."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = [shingle_hashes(t, size) for t in b["text"]]
-            yield pd.DataFrame({"set_key": [xxhash.xxh3_128_digest(h.tobytes()) for h in s], "s": [h.view(np.int64) for h in s]})
+            yield pd.DataFrame({"set_key": [xxhash.xxh3_128_digest(h.tobytes()) for h in s], "s": [h.view(np.int64) for h in s],
+                                "sketch": [parities(h) for h in s]})
 
-    return docs.select("text").mapInPandas(sets, "set_key binary, s array<long>")
+    return docs.select("text").mapInPandas(sets, "set_key binary, s array<long>, sketch array<long>")
 
 
 @F.pandas_udf(IntegerType())
@@ -147,22 +155,23 @@ def links(docs: DataFrame, size: int = 2, percent: int = PERCENT, permutations:
     first = cut(first.select(F.col("x").alias("a"), F.col("hub").alias("b")))
     near = member.select(F.col("x").alias("node")).distinct().join(classes.select("node", "rep", "set_key"), "node")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(near.select("rep"), "rep", "left_semi")
-    sets = shingle_sets(texts, size).join(near.select("set_key", "node"), "set_key").select("node", "s").dropDuplicates(["node"])
+    sets = shingle_sets(texts, size).join(near.select("set_key", "node"), "set_key").select("node", "s", "sketch").dropDuplicates(["node"])
     sets = cut(sets)
     found = cut(confirmed(first, sets, percent))
-    # what is left: members of one bucket in different components
+    # What is left: members under one hub in different components.  All but the
+    # hub's main component look for partners; a pair whose parity sketches differ
+    # in more bits than the sets may differ in members cannot link, exactly.
     comp = components(found).select(F.col("node").alias("x"), "root")
-    member = member.join(comp, "x", "left").withColumn("root", F.coalesce("root", "x"))
-    apart = member.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "value")
-    left = cut(member.join(apart, ["band", "value"]).select("band", "value", "x", "n", "root"))
-    # shingles that no other remaining member has cannot be shared
-    own = sets.join(left.select(F.col("x").alias("node")).distinct(), "node", "left_semi").select("node", F.explode("s").alias("e"))
-    alone = own.groupBy("e").agg(F.min("node").alias("x"), F.count("*").alias("df")).filter("df = 1").groupBy("x").agg(F.count("*").alias("u"))
-    left = cut(left.join(alone, "x", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).filter(F.col("c") * 100 >= F.col("n") * percent))
-    p, q = left.alias("p"), left.alias("q")
-    cap = F.least("p.c", "q.c")
-    pairs = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.value") == F.col("q.value")) & (F.col("p.x") < F.col("q.x")) & (F.col("p.root") != F.col("q.root"))
-                   & fits(F.col("p.n"), F.col("q.n")) & (cap * 100 >= (F.col("p.n") + F.col("q.n") - cap) * percent))
+    under = member.select("hub", "x", "n").distinct().join(comp, "x", "left").withColumn("root", F.coalesce("root", "x"))
+    main = under.groupBy("hub", "root").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("k"))
+    left = under.join(main.filter("k > 1").select("hub", "main"), "hub").join(sets.select(F.col("node").alias("x"), "sketch"), "x")
+    left = cut(left.select("hub", "x", "n", "root", "sketch", (F.col("root") == F.col("main")).alias("in_main")))
+    p, q = left.filter("not in_main").alias("p"), left.alias("q")
+    differ = sum((F.bit_count(F.col("p.sketch")[i].bitwiseXOR(F.col("q.sketch")[i])) for i in range(1, SKETCH // 64)),
+                 F.bit_count(F.col("p.sketch")[0].bitwiseXOR(F.col("q.sketch")[0])))
+    both = F.col("p.n") + F.col("q.n")
+    pairs = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.root") != F.col("q.root")) & (F.col("q.in_main") | (F.col("p.x") < F.col("q.x")))
+                   & fits(F.col("p.n"), F.col("q.n")) & (differ * (100 + percent) <= both * (100 - percent)))
     pairs = pairs.select(F.col("p.x").alias("a"), F.col("q.x").alias("b")).distinct()
     seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = confirmed(cut(pairs.join(seen, ["a", "b"], "left_anti")), sets, percent)
