@@ -13,8 +13,8 @@ their bytes) and compares neighbours.
 2. A second map cuts the context of each candidate anchor: the bytes of all
    windows assigned to it.  Equal contexts collapse.
 3. Groups of one anchor order their windows.  A group of more than ``HOT``
-   contexts is not gathered: its windows go by their own hash through an
-   aggregate that combines before the shuffle.
+   contexts is not gathered: slices of its windows, then windows, go by their
+   own hash through aggregates that combine before the shuffle.
 4. Repeated windows of a text become byte ranges, keyed by the text's digest.
 
 Defined cases: null or empty texts have no bytes; shorter texts have no window;
@@ -38,6 +38,7 @@ from docloom.llm.common import cut, small_batches, stored
 LENGTH = 400
 GRAM = 128
 HOT = 192
+SLICE = 32
 BLOOM_BITS = 27  # 16 MB
 PIECE = 1 << 19  # bytes of a text handled at once; addresses in a key take 20 bits
 _R = np.random.default_rng(5)
@@ -206,19 +207,38 @@ def repeated_windows(ctx: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     cold = ctx.join(size.filter(F.col("k") <= hot).select("h"), "h")
     cold = cold.repartition("h").sortWithinPartitions("h").mapInPandas(order, schema)
 
-    @F.pandas_udf("array<long>")
-    def windows(c: pd.Series, off: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<s:int,core:long,whole:long,i:int,v:array<long>>>")
+    def slices(c: pd.Series, off: pd.Series) -> pd.Series:
         roll = Rolling()
-        return pd.Series([(roll(np.frombuffer(x, dtype=np.uint8), length) + np.arange(len(x) - length + 1, dtype=np.uint64) - np.uint64(o)).view(np.int64)
-                          for x, o in zip(c, off)], dtype=object)
 
-    # hot anchors: every window by its own hash; what is met twice comes back to its context
+        def one(x, o):
+            raw = np.frombuffer(x, dtype=np.uint8)
+            v, core = roll(raw, length), roll(raw, length - SLICE + 1)
+            at = np.arange(len(v)) - o  # offsets from the anchor; slices start at multiples of SLICE
+            out = []
+            for s in range(int(at[0]) // SLICE, int(at[-1]) // SLICE + 1):
+                i, j = max(0, s * SLICE + o), min(len(v), (s + 1) * SLICE + o)
+                part = v[i:j] * np.uint64(2) + at[i:j].astype(np.uint64)
+                whole = hashlib.blake2b(part.tobytes(), digest_size=8, salt=(i - s * SLICE - o).to_bytes(4, "big")).digest()
+                out.append({"s": s, "core": int(core[s * SLICE + o + SLICE - 1].view(np.int64)), "whole": int.from_bytes(whole, "big", signed=True), "i": i, "v": part.view(np.int64).tolist()})
+            return out
+
+        return pd.Series([one(x, o) for x, o in zip(c, off)], dtype=object)
+
+    # Hot anchors, by aggregates that combine before the shuffle.  The windows of
+    # a slice share a core of bytes: a core met once rules them all out.  Slices
+    # met twice repeat whole; only windows of the others are counted one by one.
     warm = ctx.join(size.filter(F.col("k") > hot).select("h"), "h")
-    warm = cut(warm.select("ctx_key", "n", "h", windows("ctx", "off").alias("v")).select("ctx_key", "n", "h", F.posexplode("v").alias("i", "v")))
-    twice = cut(warm.groupBy("h", "v").agg(F.sum("n").alias("m")).filter("m > 1").select("h", "v"))
-    back = warm.join(twice, ["h", "v"]).groupBy("ctx_key").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    step = F.transform("at", lambda i: F.array(i, i + 1))
-    return cold.unionByName(back.select("ctx_key", step.alias("runs")))
+    warm = cut(warm.select("ctx_key", "n", "h", F.explode(slices("ctx", "off")).alias("x")).select("ctx_key", "n", "h", "x.*"))
+    cores = cut(warm.groupBy("h", "s", "core").agg(F.sum("n").alias("m")).filter("m > 1").select("h", "s", "core"))
+    warm = warm.join(cores, ["h", "s", "core"], "left_semi")
+    kinds = cut(warm.groupBy("h", "s", "whole").agg(F.sum("n").alias("m"), F.first("ctx_key").alias("ctx_key"), F.first("i").alias("i"), F.first("v").alias("v")))
+    each = kinds.select("h", "m", "ctx_key", "i", F.posexplode("v").alias("p", "w"))
+    twice = cut(each.groupBy("h", "w").agg(F.sum("m").alias("k")).filter("k > 1").select("h", "w"))
+    single = each.filter("m = 1").join(twice, ["h", "w"], "left_semi").select("ctx_key", F.array(F.col("i") + F.col("p"), F.col("i") + F.col("p") + 1).alias("r"))
+    whole = warm.join(kinds.filter("m > 1").select("h", "s", "whole"), ["h", "s", "whole"], "left_semi").select("ctx_key", F.array(F.col("i"), F.col("i") + F.size("v")).alias("r"))
+    back = single.unionByName(whole).groupBy("ctx_key").agg(F.array_sort(F.collect_list("r")).alias("runs"))
+    return cold.unionByName(back.select("ctx_key", "runs"))
 
 
 def ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bits: int = BLOOM_BITS) -> DataFrame:
