@@ -173,7 +173,8 @@ def measured(docs: DataFrame, diff: DataFrame, held_rows: int = HELD_ROWS) -> Da
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Weights and bias by Newton steps; both classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    scale = np.append(np.maximum(x.std(0), 1e-9) if len(x) else np.ones(x.shape[1]), 1.0)
+    x = np.hstack([x / scale[:-1], np.ones((len(x), 1))])
     c = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -181,7 +182,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
         g = x.T @ (c * (p - y)) + ridge * w * 1e-2
         h = (x * (c * p * (1 - p))[:, None]).T @ x + ridge * 1e-2 * np.eye(len(w))
         w = w - np.linalg.solve(h, g)
-    return w
+    return w / scale
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, np.ndarray] | None:
