@@ -98,9 +98,16 @@ def test_quality(spark):
 
 
 def test_toxicity(spark):
-    vocab = words(200, 0).split()
-    say = lambda seed: " ".join(random.Random(seed).choices(vocab, k=40))
-    texts = [say(i) + (" vile scum " if i % 3 == 0 else " good day ") + say(i + 999) for i in range(240)]
+    vocab = words(1000, 0).split()
+
+    def say(i):  # insults stand anywhere, as in the labelled table
+        r = random.Random(i)
+        w = r.choices(vocab, weights=[1 / (k + 1) for k in range(1000)], k=60)
+        for _ in range(4 if i % 3 == 0 else 0):
+            w.insert(r.randrange(60), r.choice(["vile", "scum", "rot"]))
+        return " ".join(w)
+
+    texts = [say(i) for i in range(240)]
     lab = labelled(spark, [(i, int(i % 3 == 0)) for i in range(240)] + [(7, None)], "toxic")
     docs = frame(spark, [*texts, *ODD])
     out = {x.doc_id: x for x in toxicity.classify(docs, lab).collect()}
