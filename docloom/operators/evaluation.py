@@ -58,10 +58,10 @@ def coverage(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def boundary_alignment(chunks: DataFrame, elements: DataFrame) -> DataFrame:
     """Share of chunk starts and ends on element boundaries, by element type."""
     b = elements.select("document_id", "element_type", F.explode(F.array("start_index", "end_index")).alias("pos")).distinct()
-    kinds = [r.element_type for r in elements.select("element_type").distinct().limit(16).collect()]
+    kinds = elements.select("element_type").distinct().agg(F.collect_list("element_type").alias("kinds")).scalar()
     pts = chunks.select("document_id", "strategy_name", F.explode(F.array(
         F.struct(F.lit("start").alias("side"), F.col("start_index").alias("pos")), F.struct(F.lit("end").alias("side"), F.col("end_index").alias("pos")))).alias("p"))
-    pts = pts.select("document_id", "strategy_name", "p.side", "p.pos", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("element_type"))
+    pts = pts.select("document_id", "strategy_name", "p.side", "p.pos", F.explode(kinds).alias("element_type"))
     j = pts.join(b.withColumn("hit", F.lit(1)), ["document_id", "element_type", "pos"], "left")
     return j.groupBy("strategy_name", "element_type", "side").agg((F.avg(F.coalesce("hit", F.lit(0))) * 100).alias("aligned_pct"))
 
@@ -180,9 +180,9 @@ def retrieval_scores(hits: DataFrame, truth: DataFrame, k: int, keys: Sequence[s
         prec(5).alias("precision_at_5"), F.least(F.lit(1.0), F.countDistinct("doc_idx") / F.lit(k)).alias("coverage_ratio"), n.alias("result_count"))
 
 
-def keyword_hits(hits: DataFrame, docs: DataFrame, keywords: DataFrame, chars: int = 1200) -> DataFrame:
+def keyword_hits(hits: DataFrame, docs: DataFrame, keywords: DataFrame, chars: int | None = None) -> DataFrame:
     """Share of expected keywords (``query_id, keyword``) found in any preview."""
-    t = hits.select("query_id", "doc_idx").join(docs.select("doc_idx", F.lower(F.substring("text", 1, chars)).alias("t")), "doc_idx")
+    t = hits.select("query_id", "doc_idx").join(docs.select("doc_idx", F.lower(F.col("text") if chars is None else F.substring("text", 1, chars)).alias("t")), "doc_idx")
     j = keywords.join(t, "query_id", "left").withColumn("hit", F.coalesce(F.contains("t", F.lower("keyword")), F.lit(False)))
     per = j.groupBy("query_id", "keyword").agg(F.bool_or("hit").alias("hit"))
     return per.groupBy("query_id").agg(F.avg(F.col("hit").cast("double")).alias("keyword_hit_rate"))
@@ -210,7 +210,7 @@ def agreement(hits: DataFrame, name: str = "retriever") -> DataFrame:
 # ------------------------------------------------------------------- reranking
 def list_diversity(hits: DataFrame, docs: DataFrame, k: int, keys: Sequence[str], threshold: float = 0.8) -> DataFrame:
     """Section count and near-duplicate share inside each top-k list."""
-    h = hits.filter(F.col("rank") <= k).join(docs.select("doc_idx", "primary_section", tx.distinct_tokens(F.substring("text", 1, 1200)).alias("t")), "doc_idx")
+    h = hits.filter(F.col("rank") <= k).join(docs.select("doc_idx", "primary_section", tx.distinct_tokens(F.col("text")).alias("t")), "doc_idx")
     g = h.groupBy(*keys, "query_id").agg(F.countDistinct("primary_section").alias("section_diversity"), F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("l"), F.count("*").alias("n"))
     dup = F.aggregate(F.transform("l", lambda x: F.size(F.filter("l", lambda y: (y["rank"] > x["rank"]) & (tx.jaccard(x["t"], y["t"]) >= threshold)))), F.lit(0), lambda s, v: s + v)
     pairs = F.greatest(F.lit(1.0), F.col("n") * (F.col("n") - 1) / 2)

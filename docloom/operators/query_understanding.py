@@ -9,12 +9,32 @@ from pyspark.sql import functions as F
 
 # Abbreviation -> full term (case-sensitive), in order; callers add more.
 QUERY_ABBREVIATIONS = {
-    "HTN": "hypertension", "DM": "diabetes mellitus", "CAD": "coronary artery disease", "CHF": "congestive heart failure",
-    "MI": "myocardial infarction", "AF": "atrial fibrillation", "COPD": "chronic obstructive pulmonary disease",
-    "CKD": "chronic kidney disease", "DVT": "deep vein thrombosis", "PE": "pulmonary embolism", "CVA": "cerebrovascular accident",
-    "TIA": "transient ischemic attack", "UTI": "urinary tract infection", "BP": "blood pressure", "HR": "heart rate",
-    "RR": "respiratory rate", "WBC": "white blood cell", "RBC": "red blood cell", "BUN": "blood urea nitrogen",
-    "CT": "computed tomography", "MRI": "magnetic resonance imaging", "ECG": "electrocardiogram", "ICU": "intensive care unit",
+    "HTN": "hypertension", "DM": "diabetes mellitus", "DM2": "type 2 diabetes mellitus", "DM1": "type 1 diabetes mellitus",
+    "T2DM": "type 2 diabetes mellitus", "T1DM": "type 1 diabetes mellitus", "CAD": "coronary artery disease", "CHF": "congestive heart failure",
+    "HF": "heart failure", "AF": "atrial fibrillation", "AFib": "atrial fibrillation", "AFIB": "atrial fibrillation",
+    "COPD": "chronic obstructive pulmonary disease", "CKD": "chronic kidney disease", "ESRD": "end-stage renal disease",
+    "CVA": "cerebrovascular accident stroke", "TIA": "transient ischemic attack", "MI": "myocardial infarction heart attack",
+    "STEMI": "ST-elevation myocardial infarction", "NSTEMI": "non-ST-elevation myocardial infarction", "PE": "physical examination",
+    "DVT": "deep vein thrombosis", "RA": "rheumatoid arthritis", "SLE": "systemic lupus erythematosus", "IBD": "inflammatory bowel disease",
+    "UC": "ulcerative colitis", "GERD": "gastroesophageal reflux disease", "UTI": "urinary tract infection", "PNA": "pneumonia",
+    "SOB": "shortness of breath dyspnea", "CP": "chest pain", "HA": "headache", "Fx": "fracture",
+    "BG": "blood glucose", "BS": "blood sugar glucose", "HbA1c": "hemoglobin A1c glycated hemoglobin", "A1C": "hemoglobin A1c glycated hemoglobin",
+    "Cr": "creatinine", "BUN": "blood urea nitrogen", "GFR": "glomerular filtration rate", "eGFR": "estimated glomerular filtration rate",
+    "K": "potassium", "Na": "sodium", "Hgb": "hemoglobin", "Hct": "hematocrit", "WBC": "white blood cell count", "RBC": "red blood cell count",
+    "Plt": "platelet count", "INR": "international normalized ratio coagulation", "PT": "physical therapy",
+    "aPTT": "activated partial thromboplastin time", "TSH": "thyroid stimulating hormone", "LFTs": "liver function tests",
+    "AST": "aspartate aminotransferase liver", "ALT": "alanine aminotransferase liver", "ALP": "alkaline phosphatase", "TBili": "total bilirubin",
+    "LDL": "low-density lipoprotein cholesterol", "HDL": "high-density lipoprotein cholesterol", "TG": "triglycerides",
+    "BP": "blood pressure", "HR": "heart rate pulse", "RR": "respiratory rate", "O2sat": "oxygen saturation", "SpO2": "oxygen saturation", "BMI": "body mass index",
+    "ACEI": "ACE inhibitor angiotensin converting enzyme inhibitor", "ARB": "angiotensin receptor blocker", "BB": "beta blocker",
+    "CCB": "calcium channel blocker", "ASA": "aspirin", "NSAID": "nonsteroidal anti-inflammatory drug", "PPI": "proton pump inhibitor",
+    "SSRI": "selective serotonin reuptake inhibitor", "TCA": "tricyclic antidepressant", "Abx": "antibiotics", "abx": "antibiotics",
+    "IV": "intravenous", "PO": "oral by mouth", "IM": "intramuscular", "SQ": "subcutaneous", "PRN": "as needed", "QD": "once daily",
+    "BID": "twice daily", "TID": "three times daily", "QID": "four times daily",
+    "HPI": "history of present illness", "PMH": "past medical history", "FH": "family history", "SH": "social history", "ROS": "review of systems",
+    "Dx": "diagnosis", "Rx": "prescription treatment", "Tx": "treatment", "Sx": "symptoms", "CC": "chief complaint", "H&P": "history and physical",
+    "DC": "discharge", "ED": "emergency department", "ICU": "intensive care unit", "OR": "operating room", "OT": "occupational therapy",
+    "f/u": "follow-up", "F/U": "follow-up",
 }
 # Query types and their patterns, in order of precedence.
 QUERY_TYPES = [

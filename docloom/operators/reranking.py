@@ -21,7 +21,7 @@ from docloom.operators.retrieval import mmr_select
 
 Q = ["query_id"]
 OUT = ["query_id", "doc_idx", "original_rank", "original_score", "rerank_score", "rank"]
-PREVIEW_CHARS = 1200
+PREVIEW_CHARS: int | None = None  # whole texts; a number cuts what the rerankers see
 
 # Intent -> (query terms, flag, entity types).
 INTENTS: dict[str, tuple[list[str], str, list[str]]] = {
@@ -53,7 +53,7 @@ def candidates(ranked: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFr
     unit's metadata.  Lists are short, so they are the side that gets joined."""
     c = ranked.select("query_id", "doc_idx", F.col("rank").alias("original_rank"), F.col("score").alias("original_score"))
     c = c.join(queries.select("query_id", "query"), "query_id").join(docs, "doc_idx")
-    c = c.withColumn("text_preview", F.substring("text", 1, PREVIEW_CHARS))
+    c = c.withColumn("text_preview", F.col("text") if PREVIEW_CHARS is None else F.substring("text", 1, PREVIEW_CHARS))
     return c.withColumn("qt", tx.tokens("query")).withColumn("tt", tx.tokens("text_preview")).withColumn("qd", F.array_distinct("qt"))
 
 

@@ -134,7 +134,7 @@ def fixed_score_hits(per_query: DataFrame, fixed: DataFrame, queries: DataFrame,
     """Add a query-independent score to per-query scores without pairing every
     query with every unit.  A unit with no query-specific score can only reach
     the top k if it is in the top k by fixed score, so those k rows are enough."""
-    best = fixed.orderBy(F.desc("fixed"), F.asc("doc_idx")).limit(k)
+    best = fixed.orderBy(quantize(F.col("fixed")).desc(), F.asc("doc_idx")).limit(k)
     rows = best.agg(F.collect_list(F.struct("doc_idx", "fixed")).alias("rows")).scalar()
     lone = queries.select("query_id", F.inline(rows)).select("query_id", "doc_idx", F.col("fixed").alias("score"))
     own = per_query.join(fixed, "doc_idx", "left").select(
@@ -363,6 +363,14 @@ def duplicates(seeds: DataFrame, index: Relations, k: int | None = 10, include_s
     return topk(n, Q, [F.desc("is_seed"), F.desc("score"), F.asc("doc_idx")], k).select("query_id", "doc_idx", "score", "rank")
 
 
+def filtered_hits(queries: DataFrame, docs: DataFrame, filters: dict | None = None, k: int = 10, sort_by_quality: bool = True) -> DataFrame:
+    """The filter's k units as ranked hits of every query (they do not depend on it)."""
+    order = F.row_number().over(Window.orderBy(F.desc("score") if sort_by_quality else F.lit(0), F.asc("doc_idx")))  # over k rows
+    best = metadata_filter(docs, filters, k, sort_by_quality).withColumn("rank", order)
+    rows = best.agg(F.collect_list(F.struct("doc_idx", "score", "rank")).alias("rows")).scalar()
+    return queries.select("query_id", F.inline(rows))
+
+
 def metadata_filter(docs: DataFrame, filters: dict | None = None, k: int = 10, sort_by_quality: bool = True) -> DataFrame:
     d = docs.filter(compile_filters(filters, columns=docs.columns))
     quality = F.coalesce("clinical_quality_score", F.lit(0.0))
@@ -586,7 +594,7 @@ def graph_expansion(base: DataFrame, graph: Relations, k: int = 10, edge_types:
     return cut(both.groupBy("query_id", "doc_idx").agg(F.max("score").alias("score")), k)
 
 
-def context_expansion(base: DataFrame, docs: DataFrame, corpus_docs: DataFrame, chars: int = 1200) -> DataFrame:
+def context_expansion(base: DataFrame, docs: DataFrame, corpus_docs: DataFrame, chars: int | None = None) -> DataFrame:
     """Hits with the text of their parent span (own span when there is none)."""
     from docloom.sources.corpus import decode_span
 
@@ -596,7 +604,7 @@ def context_expansion(base: DataFrame, docs: DataFrame, corpus_docs: DataFrame,
     d = docs.select("doc_idx", "document_id", start.alias("expanded_start_index"), end.alias("expanded_end_index"))
     x = base.join(d, "doc_idx").join(corpus_docs.select("document_id", "tokens"), "document_id")
     body = decode_span(F.col("tokens"), F.col("expanded_start_index"), F.col("expanded_end_index"))
-    return x.withColumn("expanded_text_preview", F.substring(body, 1, chars)).drop("tokens")
+    return x.withColumn("expanded_text_preview", body if chars is None else F.substring(body, 1, chars)).drop("tokens")
 
 
 def mmr_select(scores: list[float], texts: list[set], k: int, lam: float) -> list[tuple[int, float]]:
@@ -615,9 +623,9 @@ def mmr_select(scores: list[float], texts: list[set], k: int, lam: float) -> lis
     return picked
 
 
-def mmr_diversity(base: DataFrame, docs: DataFrame, k: int = 10, lam: float = 0.75, chars: int = 1200) -> DataFrame:
+def mmr_diversity(base: DataFrame, docs: DataFrame, k: int = 10, lam: float = 0.75, chars: int | None = None) -> DataFrame:
     """MMR over an over-fetched ranking (``max(fetch_k, k)`` rows per query)."""
-    toks = tx.distinct_tokens(F.substring("text", 1, chars))
+    toks = tx.distinct_tokens(F.col("text") if chars is None else F.substring("text", 1, chars))
     b = base.join(docs.select("doc_idx", toks.alias("toks")), "doc_idx").select("query_id", "doc_idx", "score", "rank", "toks")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

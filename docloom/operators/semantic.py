@@ -80,10 +80,10 @@ def _scan(block: list[tuple[int, list[float]]], vectors: DataFrame, k: int, metr
                 s = (mat @ x.T + 1.0) / 2.0
             else:  # squared distance; negated so that larger is nearer
                 s = -((mat**2).sum(1)[:, None] - 2 * mat @ x.T + (x**2).sum(1)[None, :])
-            # the k-th best value with its ties: exact under the final order
+            # the k-th best value with all that may round to it: exact under the final order
             keep = min(k, s.shape[1])
             kth = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
-            qi, di = np.nonzero(s >= kth[:, None] - 1e-9)
+            qi, di = np.nonzero(s >= kth[:, None] - 1.1e-6)
             yield pd.DataFrame({"query_id": ids[qi], "doc_idx": docs[di], "score": s[qi, di]})
 
     return vectors.select("doc_idx", "vector").mapInPandas(step, HIT)
@@ -94,8 +94,9 @@ def dense(query_vectors: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     """Exact nearest units of every query vector (``query_id, vector``).
 
     Filters apply before the search, so k results come back whenever k units
-    pass.  Query vectors are read in blocks of at most ``MAX_QUERY_BLOCK``: that
-    bound is what each task holds, however many queries there are."""
+    pass.  Query vectors are read in blocks by the hash of the row, of half of
+    ``MAX_QUERY_BLOCK`` on average: that is what each task holds, however many
+    queries, or vectors of one query, there are; none is left out."""
     if filters:
         if docs is None:
             raise ValueError("filters need the docs relation")
@@ -106,8 +107,8 @@ def dense(query_vectors: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     blocks = max(1, -(-n // (MAX_QUERY_BLOCK // 2)))
     out = None
     for b in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = [(r.query_id, list(r.vector)) for r in part.limit(MAX_QUERY_BLOCK).collect()]
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)) == b)
+        rows = [(r.query_id, list(r.vector)) for r in part.collect()]
         if not rows:
             continue
         hit = _scan(rows, vectors, k, metric)

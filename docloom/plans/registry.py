@@ -8,7 +8,7 @@ from typing import Any, Generic, TypeVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import chunking, indexing, reranking, retrieval
+from docloom.operators import chunking, indexing, reranking, retrieval, semantic
 from docloom.sources.corpus import Corpus
 from docloom.sources.io import read_table, write_manifest, write_table
 
@@ -102,7 +102,8 @@ class LexicalSearch(Registry):
 
     Each retriever is ``(queries, k, **options) -> ranked hits``."""
 
-    def __init__(self, docs: DataFrame, index: dict[str, indexing.Relations]) -> None:
+    def __init__(self, docs: DataFrame, index: dict[str, indexing.Relations], vectors: DataFrame | None = None,
+                 provider: semantic.Provider | None = None) -> None:
         rt, ix = retrieval, index
         direct = {
             "bm25": ("bm25", rt.bm25), "keyword_exact": ("keyword_inverted", rt.keyword_exact), "tfidf": ("tfidf", rt.tfidf),
@@ -120,7 +121,7 @@ class LexicalSearch(Registry):
         items |= {
             "minhash_duplicates": lambda q, k=10, seeds=None, **kw: rt.duplicates(
                 seeds if seeds is not None else items["bm25"](q, 1).select("query_id", "doc_idx"), ix["minhash_lsh"], k, **kw),
-            "metadata_filter": lambda q, k=10, filters=None, **kw: rt.metadata_filter(docs, filters, k, **kw),
+            "metadata_filter": lambda q, k=10, filters=None, **kw: rt.filtered_hits(q, docs, filters, k, **kw),
             "bm25_metadata_boost": boost,
             "multi_query_bm25": lambda q, k=10, **kw: rt.multi_query_bm25(q, ix["bm25"], k, **kw),
             "lexical_fusion": lambda q, k=10, **kw: rt.fuse([items[n](q, max(3 * k, 20), **kw) for n in ("bm25", "keyword_exact")], k),
@@ -137,6 +138,12 @@ class LexicalSearch(Registry):
             "negation_aware_bm25": lambda q, k=10, **kw: rt.negation_aware(items["bm25"](q, 3 * k, **kw), q, docs, k),
             "clinical_section_scoped": lambda q, k=10, filters=None, **kw: rt.section_scoped(items["bm25"](q, 4 * k, filters=filters), docs, k, **kw),
         }
+        if vectors is not None and provider is not None:
+            items["hyde"] = lambda q, k=10, passages=None, filters=None: semantic.hyde(q, vectors, provider, passages, k)
+            items["dense"] = lambda q, k=10, filters=None: semantic.dense(provider(q.select(F.col("query_id").alias("doc_idx"), F.col("query").alias("text"))).select(
+                F.col("doc_idx").alias("query_id"), "vector"), vectors, k, docs=docs, filters=filters)
+            items["hybrid"] = lambda q, k=10, alpha=0.5, filters=None: semantic.hybrid(
+                items["bm25"](q, max(3 * k, 20), filters=filters), items["dense"](q, max(3 * k, 20), filters=filters), k, alpha)
         super().__init__("retriever", items)
 
     def retrieve(self, name: str, queries: DataFrame, k: int = 10, **kw: Any) -> DataFrame:

@@ -24,7 +24,7 @@ _LONG = "list_filter({}, lambda t: length(t) > 2)"
 CAND = f"""ea as (select doc_idx, list(text) as etext, list(normalized_value) as enorm, list(entity_type) as etypes, count(*) as ne,
   list_distinct(flatten(list({S.toks("text||' '||normalized_value")}))) as ets,
   list_distinct(flatten(list({S.toks("text||' '||normalized_value")}) filter (is_negated))) as nts from ents group by 1),
-c0 as (select b.query_id, b.doc_idx, b.score, b.rank, bm.text as q, u.*exclude(doc_idx), substr(u.text,1,1200) as pv from bm25 b join benchmark bm on item_id = query_id join units u on u.doc_idx = b.doc_idx),
+c0 as (select b.query_id, b.doc_idx, b.score, b.rank, bm.text as q, u.*exclude(doc_idx), u.text as pv from bm25 b join benchmark bm on item_id = query_id join units u on u.doc_idx = b.doc_idx),
 c1 as (select *, {S.toks('q')} as qt, {S.toks('pv')} as tt from c0),
 cand as (select c1.*, list_distinct(qt) as qd, coalesce(ne,0) as ne, coalesce(etypes,[]) as etypes, coalesce(ets,[]) as ets, coalesce(nts,[]) as nts from c1 left join ea using (doc_idx))"""
 BASE = [S.LEX, S.UNITS, S.bm25_ctes(20), CAND]

@@ -199,3 +199,27 @@ def test_request_stream(spark, tmp_path):
     assert q.awaitTermination(90)
     got = {r.request_id: r for r in spark.read.json(str(tmp_path / "out")).collect()}
     assert set(got) == {"1", "2"} and got["1"].ok and not got["2"].ok
+
+
+def test_query_abbreviations_in_full(spark, ask):
+    from docloom.operators import query_understanding as qu
+
+    got = {r.query_id: r.query for r in qu.expand(ask("PE for MI", "plain", "f/u of K and PT")).collect() if r.variant == 1}
+    assert got == {0: "physical examination for myocardial infarction heart attack", 2: "follow-up of potassium and physical therapy"}
+
+
+def test_dense_keeps_many_vectors_of_one_query_and_rounded_ties(spark):
+    from docloom.operators import semantic
+
+    v = spark.createDataFrame([(9, [1.0]), (5, [0.99999990]), (1, [0.99999970]), (2, [-1.0])], "doc_idx long, vector array<double>")
+    one = spark.createDataFrame([(0, [1.0])], "query_id long, vector array<double>")
+    assert [r.doc_idx for r in semantic.dense(one, v, 1).collect()] == [1]
+    many = spark.createDataFrame([(0, [float(i % 2)]) for i in range(2999)] + [(0, [-1.0])], "query_id long, vector array<double>")
+    assert semantic.dense(many, v.filter("doc_idx = 2"), 5000).count() >= 1
+
+
+def test_filtered_hits_keep_the_hit_contract(units, ask):
+    from docloom.operators import retrieval
+
+    got = retrieval.filtered_hits(ask("a", "b"), units, {"contains_lab": True}, 3).collect()
+    assert {(r.query_id, r.doc_idx, r["rank"]) for r in got} == {(0, 4, 1), (1, 4, 1)}
