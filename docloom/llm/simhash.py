@@ -44,7 +44,7 @@ def fingerprint(text: str | None) -> bytes:
     if not w:
         return bytes(BITS // 8)
     digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in w), dtype=np.uint64, count=len(w))
+    h = np.fromiter(map(digest, " ".join(w).encode("utf-8", "surrogatepass").split(b" ")), dtype=np.uint64, count=len(w))
     terms, n = np.unique(h, return_counts=True)
     pairs = np.unique(mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]))
     names, weight = [terms, pairs], [0.5 * (1 + np.log(n)), np.ones(len(pairs))]
