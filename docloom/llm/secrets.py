@@ -120,7 +120,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", owner: Column | None = None,
     some = F.coalesce(F.col("text"), F.lit("")).rlike(f"{ASSIGN}|(?-i:{ACCESS}|{HEX}|{OPAQUE})")
     rows = docs.filter(some).withColumn("_spans", found_spans(F.col("text"))).withColumn("_row", F.struct(F.sha2("text", 256), name(owner), name(repository)))
     each = rows.select("_row", name(owner).alias("owner"), name(repository).alias("repository"), F.explode("_spans").alias("s"))
-    each = each.withColumn("value_hash", F.sha2(F.col("s.value"), 256)).withColumn("random", looks_random(F.col("s.value")))
+    # written once: ownership and masking both read the spans
+    each = cut(each.withColumn("value_hash", F.sha2(F.col("s.value"), 256)).withColumn("random", looks_random(F.col("s.value"))))
     owned = cut(ownership(each, example_owners))
     live = each.join(owned.filter("live"), "value_hash").groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("s.start", "s.stop"))).alias("_live"))
     live = cut(live)
