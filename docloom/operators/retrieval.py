@@ -251,7 +251,7 @@ def section_page(queries: DataFrame, index: Relations, k: int = 10, filters: dic
     if not sections and not pages:
         return cut(own, k)
     fixed_q = fixed.join(quality, "doc_idx").select("doc_idx", (F.col("fixed") + F.col("quality")).alias("fixed"))
-    best = fixed_q.orderBy(F.desc("fixed"), F.asc("doc_idx")).limit(k)
+    best = fixed_q.orderBy(quantize(F.col("fixed")).desc(), F.asc("doc_idx")).limit(k)
     rows = best.agg(F.collect_list(F.struct("doc_idx", "fixed")).alias("rows")).scalar()
     lone = queries.select("query_id", F.inline(rows)).select("query_id", "doc_idx", F.col("fixed").alias("score"))
     both = own.join(fixed, "doc_idx", "left").select("query_id", "doc_idx", (F.col("score") + F.coalesce("fixed", F.lit(0.0))).alias("score"))
