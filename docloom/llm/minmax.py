@@ -39,6 +39,7 @@ PERMUTATIONS = 100
 BAND = 5
 PERCENT = 80
 SKETCH = 4096  # bits
+BLOCK = 256  # shingles permuted at once: their values stay in the cache
 ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -73,14 +74,18 @@ class MinMax:
         self.mul = r.integers(1, 2**63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.add = r.integers(0, 2**63, permutations, dtype=np.uint64)
         self.band = band
+        self.room = np.empty((BLOCK, permutations), dtype=np.uint64)
 
     def bands(self, h: np.ndarray) -> np.ndarray:
         """One 64-bit key per band: bands of minima, then bands of maxima."""
         x = (h >> np.uint64(32)) | (h << np.uint64(32))  # high bits of a product depend on all bits below
         low, high = np.full(len(self.mul), 2**64 - 1, dtype=np.uint64), np.zeros(len(self.mul), dtype=np.uint64)
-        for k in range(0, len(x), 4096):
-            p = x[k:k + 4096, None] * self.mul + self.add
-            low, high = np.minimum(low, p.min(0)), np.maximum(high, p.max(0))
+        for k in range(0, len(x), BLOCK):
+            part = x[k:k + BLOCK, None]
+            p = np.multiply(part, self.mul, out=self.room[:len(part)])
+            p += self.add
+            np.minimum(low, p.min(0), out=low)
+            np.maximum(high, p.max(0), out=high)
         v = np.concatenate([low, high]).reshape(-1, self.band)
         key = np.arange(len(v), dtype=np.uint64)
         for j in range(self.band):
