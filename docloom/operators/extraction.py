@@ -35,6 +35,15 @@ class Rule:
     cap: float = 1.0
     lower: bool = False       # match on the cleaned lower-case line
     norm_lower: bool = False
+    ends: bool = False        # the pattern takes the mark that ends a phrase; it is no part of the entity
+    min_len: int = 0          # shortest normalised value
+    unless: str = ""          # a cleaned line that matches gives nothing
+    only: tuple[str, ...] = ()  # sections the rule is bound to
+    fixed: str = ""           # one entity a line, with this value and the line's start as its text
+
+
+ENDS = ",;. "  # marks that end a phrase
+NKDA = r"\b(?:nkda|nka|no known drug allergies?|no known allergies?)\b"
 
 
 def rules(lab_names: list[str] | None = None) -> list[Rule]:
@@ -54,13 +63,20 @@ def rules(lab_names: list[str] | None = None) -> list[Rule]:
         Rule("medication_class", "drug_suffix", rf"[a-z]{{4,}}(?:{ALT(V.DRUG_SUFFIXES)})\b", 0.65, boost=med, cap=0.80, lower=True),
         Rule("medication_candidate", "medication_dose_regex", r"\b([A-Z][A-Za-z0-9\-]{2,}(?:\s+[A-Z][A-Za-z0-9\-]{2,}){0,2})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|iu|units?)\b", 0.60, boost=med, cap=0.78),
         Rule("diagnosis_code", "icd10_regex", r"\b[A-TV-Z][0-9][0-9A-Z](?:\.[0-9A-Z]{1,4})?\b", 0.75),
-        Rule("past_diagnosis", "history_of_pattern", r"\b(?:history of|hx of|h/o|known case of|known h/o|dx of|diagnosis of|diagnosed with)\s+([a-z][a-z \-]{3,50})", 0.68, 1, dx, 0.82, True),
+        Rule("past_diagnosis", "history_of_pattern", r"\b(?:history of|hx of|h/o|known case of|known h/o|dx of|diagnosis of|diagnosed with)\s+([a-z][a-z \-]{3,50}?)(?:[,;.]|$)", 0.68, 1, dx, 0.82, True,
+             ends=True, min_len=7),
         Rule("procedure_code", "cpt_like_regex", r"\b[1-9][0-9]{4}\b", 0.65),
         Rule("imaging", "imaging_keyword", "(?i)" + V.IMAGING, 0.78, norm_lower=True),
         Rule("procedure", "procedure_keyword", "(?i)" + V.PROCEDURE, 0.72, norm_lower=True),
-        Rule("allergy_nkda", "nkda_pattern", r"\b(?:nkda|nka|no known drug allergies?|no known allergies?)\b", 0.92, lower=True),
-        Rule("allergy", "allergy_pattern", r"\ball(?:ergic|ergy)\s+to\s+([a-z][a-z0-9 \-]{2,40})", 0.72, 1, ("allergies",), 0.88, True),
-        Rule("allergy", "reaction_pattern", r"\breaction to\s+([a-z][a-z0-9 \-]{2,30})", 0.72, 1, ("allergies",), 0.88, True),
+        Rule("allergy_nkda", "nkda_pattern", NKDA, 0.92, lower=True, fixed="NKDA")]
+    out += [Rule("allergy", "allergy_pattern_v2", p, 0.72, 1, ("allergies",), 0.88, True, ends=True, min_len=3, unless=NKDA) for p in (
+        r"\ball(?:ergic|ergy)\s+to\s+([a-z][a-z0-9 \-]{2,40}?)(?:[,;.]|$)",
+        r"\b([a-z][a-z0-9 \-]{2,30}?)\s+allergy\b",
+        r"\b([a-z][a-z0-9 \-]{2,30}?)\s+intolerance\b",
+        r"\breaction to\s+([a-z][a-z0-9 \-]{2,30}?)(?:[,;.]|$)")]
+    out += [
+        Rule("allergy", "allergy_section_capitalized", r"^\s*[A-Z][A-Za-z0-9 \-]{2,40}\s*$", 0.68, norm_lower=True, ends=True, min_len=3,
+             unless=NKDA, only=("allergies",)),
         Rule("demographics_age", "age_pattern", r"(?i)\b(\d{1,3})[- ]?(?:years?[- ]?old|yo|y/?o|y\.o\.)", 0.85, 1),
         Rule("demographics_age", "age_labeled", r"(?i)\bage\s*[:\-]?\s*(\d{1,3})\b", 0.85, 1),
         Rule("demographics_gender", "gender_pattern", r"(?i)\b(male|female|man|woman|boy|girl)\b", 0.80, norm_lower=True),
@@ -87,12 +103,23 @@ def _matches(r: Rule, no: int) -> Column:
     conf = _confidence(r)
 
     def row(m: Column) -> Column:
-        norm = F.regexp_extract(m, r.pattern, r.group) if r.group else m
+        if r.fixed:
+            m = F.substring("text", 1, 80)
+        m = F.btrim(m, F.lit(ENDS)) if r.ends else m
+        norm = F.lit(r.fixed) if r.fixed else F.regexp_extract(m, r.pattern, r.group) if r.group else m
         norm = F.trim(F.lower(norm) if r.norm_lower else norm)
         return F.struct(F.lit(r.entity_type).alias("entity_type"), m.alias("entity_text"), norm.alias("normalized_value"),
                         conf.alias("confidence"), F.lit(r.source).alias("source"), F.lit(no).alias("rule_no"))
 
-    return F.transform(F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0)), row)
+    found = F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0))
+    found = F.transform(F.slice(found, 1, 1) if r.fixed else found, row)
+    if r.min_len:
+        found = F.filter(found, lambda e: F.length(e["normalized_value"]) >= r.min_len)
+    if r.unless:
+        found = F.filter(found, lambda e: ~F.col("clean").rlike(r.unless))
+    if r.only:
+        found = F.filter(found, lambda e: F.coalesce(F.col("section_name").isin(list(r.only)), F.lit(False)))
+    return found
 
 
 def pattern_entities(lines: DataFrame, which: list[Rule] | None = None) -> DataFrame:

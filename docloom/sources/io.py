@@ -106,8 +106,3 @@ def checkpoint(df: DataFrame, default_dir: str | None = None) -> DataFrame:
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     return df.limit(n)
-
-
-def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Small fixed lookup relation (its size is fixed in the code)."""
-    return F.broadcast(spark.createDataFrame(rows, schema))

@@ -2,7 +2,8 @@
 
 A message is ``{request_id, reply_topic, payload}``; a reply is ``{request_id,
 ok, result, error}``.  Unparsable messages are dropped, failures become
-``ok = false`` replies, and redelivered requests are answered once."""
+``ok = false`` replies, and a request redelivered within ``remember`` is
+answered once, whichever micro-batches its copies fall into."""
 
 from __future__ import annotations
 
@@ -48,13 +49,15 @@ def replies(handled: DataFrame) -> DataFrame:
     return handled.select("request_id", F.col("error").isNull().alias("ok"), "result", "error")
 
 
-def serve(requests: DataFrame, handler: Handler, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def serve(requests: DataFrame, handler: Handler, out: str, checkpoint: str, once: bool = True, remember: str = "7 days") -> StreamingQuery:
     """Answer requests micro-batch by micro-batch.  The batch id names the
-    output folder, so a replayed batch overwrites its own replies."""
+    output folder, so a replayed batch overwrites its own replies.  Answered ids
+are stream state, partitioned by id and dropped ``remember`` after arrival."""
+    first = requests.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remember)
+    first = first.dropDuplicatesWithinWatermark(["request_id"]).drop("_arrived")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        unique = df.dropDuplicates(["request_id"])
-        replies(handler(unique)).write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        replies(handler(df)).write.mode("overwrite").json(f"{out}/batch={batch_id}")
 
-    w = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    w = first.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

@@ -26,9 +26,9 @@ NOTE_LINE = """case i
  when 4 then 'Medications:'
  when 5 then case o_orderkey % 4 when 0 then 'Take metformin 500 mg tablet daily.' when 1 then 'lisinopril 10 mg po bid. Not taking aspirin.' when 2 then 'Atorvastatin 40 mg at night.' else 'No current drugs.' end
  when 6 then 'Assessment and Plan:'
- when 7 then case o_custkey % 4 when 0 then 'No evidence of pneumonia. Patient has hypertension.' when 1 then 'History of diabetes mellitus, stable.' when 2 then 'Denies chest pain. Asthma J45.909 and type 2 diabetes.' else 'Follow up in clinic 3/14/2024 with MRI of knee.' end
+ when 7 then case o_custkey % 4 when 0 then 'No evidence of pneumonia. Patient has hypertension.' when 1 then 'History of diabetes mellitus, stable.' when 2 then 'Denies chest pain. Asthma J45.909 and type 2 diabetes.' else 'Follow up in clinic 3/14/2024 with MRI of knee after arthroscopy.' end
  when 8 then 'Laboratory Results:'
- else 'Glucose: ' || cast(80 + o_orderkey % 200 as string) || ' mg/dL, sodium low ' || cast(120 + o_custkey % 20 as string) || ', allergic to penicillin.' end"""
+ else 'Glucose: ' || cast(80 + o_orderkey % 200 as string) || ' mg/dL, sodium low ' || cast(120 + o_custkey % 20 as string) || case o_orderkey % 5 when 0 then ', allergic to penicillin.' when 1 then '. NKDA, no reaction to latex.' when 2 then '; latex allergy, lactose intolerance.' when 3 then ', reaction to iodinated contrast medium; mild.' else ', allergy to a drug whose name and dose nobody at this clinic could find.' end end"""
 
 
 def note_lines(spark, d):
@@ -78,11 +78,16 @@ def _rule_sql(keep) -> str:
     for r in xt.rules():
         if r.entity_type not in keep:
             continue
-        body = "lower(trim(regexp_replace(text,'[ \\t\\n\\r\\f]+',' ','g')))" if r.lower else "text"
-        norm = f"regexp_extract(m, $${r.pattern}$$, {r.group})" if r.group else "m"
-        norm = f"lower({norm})" if r.norm_lower else norm
+        clean = "lower(trim(regexp_replace(text,'[ \\t\\n\\r\\f]+',' ','g')))"
+        found = f"regexp_extract_all({clean if r.lower else 'text'}, $re${r.pattern}$re$)" + ("[1:1]" if r.fixed else "")
+        m = "substr(text, 1, 80)" if r.fixed else f"trim(m, '{xt.ENDS}')" if r.ends else "m"
+        norm = f"'{r.fixed}'" if r.fixed else f"regexp_extract({m}, $re${r.pattern}$re$, {r.group})" if r.group else m
+        norm = f"trim(lower({norm}))" if r.norm_lower else f"trim({norm})"
         boost = f"least({r.cap}::double, {r.confidence}::double + case when section_name in ({','.join(repr(b) for b in r.boost)}) then 0.15::double else 0 end)" if r.boost else f"{r.confidence}::double"
-        parts.append(f"select document_id, element_id, '{r.entity_type}' as entity_type, m as entity_text, trim({norm}) as normalized_value, {S.q6(boost)} as confidence, '{r.source}' as source from (select *, unnest(regexp_extract_all({body}, $${r.pattern}$$)) as m from nsec)")
+        kept = [f"length({norm}) >= {r.min_len}"]
+        kept += [f"not regexp_matches({clean}, $re${r.unless}$re$)"] if r.unless else []
+        kept += [f"section_name in ({','.join(repr(x) for x in r.only)})"] if r.only else []
+        parts.append(f"select document_id, element_id, '{r.entity_type}' as entity_type, {m} as entity_text, {norm} as normalized_value, {S.q6(boost)} as confidence, '{r.source}' as source from (select *, unnest({found}) as m from nsec) where {' and '.join(kept)}")
     return " union all ".join(parts)
 
 

@@ -199,6 +199,28 @@ def test_request_stream(spark, tmp_path):
     assert q.awaitTermination(90)
     got = {r.request_id: r for r in spark.read.json(str(tmp_path / "out")).collect()}
     assert set(got) == {"1", "2"} and got["1"].ok and not got["2"].ok
+    # redelivered later, in a batch of its own
+    (src / "b.txt").write_text("\n".join([msg("1", {"text": "late"}), msg("3", {"text": "x"})]))
+    q = rq.serve(rq.read_requests(spark, str(src)), rq.chunk_handler, str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert q.awaitTermination(90)
+    assert sorted(r.request_id for r in spark.read.json(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+
+
+def test_phrases_end_and_allergy_rules(spark):
+    from docloom.operators import extraction as xt
+
+    lines = [
+        "history of diabetes mellitus, stable", "history of gout.", "history of a very long phrase that goes on and on past the bound of fifty letters",
+        "Allergic to penicillin; latex allergy", "Lactose intolerance", "NKDA. Allergic to nothing", "Shellfish", "reaction to iodine"]
+    d = spark.createDataFrame([(0, i, 1, "allergies", t) for i, t in enumerate(lines)], "document_id long, element_id long, page_number int, section_name string, text string")
+    got = {(r.element_id, r.entity_type, r.entity_text, r.normalized_value, r.confidence)
+           for r in xt.pattern_entities(d, [r for r in xt.rules() if r.entity_type in {"past_diagnosis", "allergy", "allergy_nkda"}]).collect()}
+    assert got == {
+        (0, "past_diagnosis", "history of diabetes mellitus", "diabetes mellitus", 0.68),
+        (3, "allergy", "allergic to penicillin", "penicillin", 0.87), (3, "allergy", "latex allergy", "latex", 0.87),
+        (4, "allergy", "lactose intolerance", "lactose", 0.87), (4, "allergy", "Lactose intolerance", "lactose intolerance", 0.68),
+        (5, "allergy_nkda", "NKDA. Allergic to nothing", "NKDA", 0.92), (6, "allergy", "Shellfish", "shellfish", 0.68),
+        (7, "allergy", "reaction to iodine", "iodine", 0.87)}
 
 
 def test_query_abbreviations_in_full(spark, ask):
