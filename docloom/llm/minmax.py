@@ -146,10 +146,10 @@ def links(docs: DataFrame, size: int = 2, percent: int = PERCENT, permutations:
     component."""
     sig = cut(signatures(docs, size, permutations, band))
     some = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"),
+                                            F.first("bands").alias("bands"))  # equal sets have equal bands
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # fixed by the checkpoint
-    reps = some.join(classes.drop("n"), (some.set_key == classes.set_key) & (some.doc_id == classes.rep)).dropDuplicates(["node"])
-    member = reps.select(F.col("node").alias("x"), F.col("n_shingles").alias("n"), "copies", F.posexplode("bands").alias("band", "value"))
+    member = classes.select(F.col("node").alias("x"), "n", "copies", F.posexplode("bands").alias("band", "value"))
     # a bucket's hub: most copies, then least node; only buckets of two members or more
     hub = member.groupBy("band", "value").agg(F.max_by("x", F.struct("copies", -F.col("x"))).alias("hub"), F.count("*").alias("k"))
     hub = cut(hub.filter("k > 1").select("band", "value", "hub"))
@@ -180,7 +180,7 @@ def links(docs: DataFrame, size: int = 2, percent: int = PERCENT, permutations:
     pairs = pairs.select(F.col("p.x").alias("a"), F.col("q.x").alias("b")).distinct()
     seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = confirmed(cut(pairs.join(seen, ["a", "b"], "left_anti")), sets, percent)
-    return sig.select("doc_id", "n_shingles", "set_key"), classes, cut(found.unionByName(more))
+    return sig.select("doc_id", "n_shingles", "set_key"), classes.drop("bands"), cut(found.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
