@@ -17,8 +17,9 @@ only pairs that can reach the threshold leave it to be confirmed.
 Defined cases: null or empty texts and texts without words have no shingles and
 link with nothing; one word is a shingle of its own; equal sets link; ids may be
 negative; rows that share an id are documents of their own, so equal rows link
-and each is returned; a row with a null id is kept and links with nothing; an
-empty table gives an empty result; extra columns are ignored.
+and each is returned; a row with a null id is kept and links with nothing (in
+``deduplicate`` it links too); an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from docloom.llm.common import cut, small_batches
+from docloom.llm.common import cut, small_batches, with_small
 from docloom.llm.components import components
 
 PERMUTATIONS = 100
@@ -40,6 +41,7 @@ BAND = 5
 PERCENT = 80
 SKETCH = 4096  # bits
 BLOCK = 256  # shingles permuted at once: their values stay in the cache
+NAME = "struct<no_id:boolean,id:bigint,key:binary>"
 ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -93,8 +95,9 @@ class MinMax:
         return key
 
 
-def signatures(docs: DataFrame, size: int, permutations: int, band: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands); ``set_key`` names the set."""
+def signatures(docs: DataFrame, size: int, permutations: int, band: int, named: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, set_key, bands); ``set_key`` names the set.  With
+    ``named`` the column ``name`` of ``docs`` is carried along."""
     small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,10 +109,10 @@ def signatures(docs: DataFrame, size: int, permutations: int, band: int) -> Data
                 n.append(len(h))
                 key.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 bands.append(mm.bands(h).view(np.int64).tolist() if len(h) else [])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": n, "set_key": key, "bands": bands})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": n, "set_key": key, "bands": bands} | ({"name": b["name"]} if named else {}))
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInPandas(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(["name"] if named else []))
+    return rows.mapInPandas(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>" + (f", name {NAME}" if named else ""))
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -139,15 +142,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
-def links(docs: DataFrame, size: int = 2, percent: int = PERCENT, permutations: int = PERMUTATIONS, band: int = BAND) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, size: int = 2, percent: int = PERCENT, permutations: int = PERMUTATIONS, band: int = BAND,
+          named: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): ``rows`` (doc_id, n_shingles, set_key);
     ``classes`` (set_key, node, rep, copies, n), one per different set, ``rep``
     its least id; ``links`` (a, b) between nodes, enough to connect every
-    component."""
-    sig = cut(signatures(docs, size, permutations, band))
+    component.  With ``named``, ``rows`` carry ``name`` and ``classes`` their
+    least one."""
+    sig = cut(signatures(docs, size, permutations, band, named))
     some = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"),
-                                            F.first("bands").alias("bands"))  # equal sets have equal bands
+                                            F.first("bands").alias("bands"), *([F.min("name").alias("name")] if named else []))  # equal sets have equal bands
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # fixed by the checkpoint
     member = classes.select(F.col("node").alias("x"), "n", "copies", F.posexplode("bands").alias("band", "value"))
     # a bucket's hub: most copies, then least node; only buckets of two members or more
@@ -180,7 +185,7 @@ def links(docs: DataFrame, size: int = 2, percent: int = PERCENT, permutations:
     pairs = pairs.select(F.col("p.x").alias("a"), F.col("q.x").alias("b")).distinct()
     seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = confirmed(cut(pairs.join(seen, ["a", "b"], "left_anti")), sets, percent)
-    return sig.select("doc_id", "n_shingles", "set_key"), classes.drop("bands"), cut(found.unionByName(more))
+    return sig.drop("bands"), classes.drop("bands"), cut(found.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
@@ -194,8 +199,25 @@ def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, **kw) -> DataFrame:
-    """Stage: one document of each group stays, the one of the least id; rows
-    that share an id with it go only where their own group has a lesser one."""
-    gone = near_duplicates(docs, **kw).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti").select(docs.columns)
+def deduplicate(docs: DataFrame, one_row: bool = False, **kw) -> DataFrame:
+    """Stage: one document of each group stays, the one of the least id, of
+    equal ids the one of the least text key; rows without an id come last.
+    With ``one_row`` exactly one row of each group stays, of repeated rows the
+    first stored.  Otherwise a document is what its id names: all rows of the
+    group's least id stay, and rows without an id stay.  Rows are told apart by
+    id and text, so a row of the same id in another group is left alone."""
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text").cast("binary")))
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("bigint").alias("id"), key.alias("key"))
+    rows, classes, found = links(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", name.alias("name")), named=True, **kw)
+    named = classes.select("set_key", "node", "name").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(named.join(named.groupBy("root").agg(F.min("name").alias("least")), "root").select("set_key", "least"))
+    rows = rows.join(named, "set_key").select("name", "least")
+    stays = F.col("name.key") == F.col("least.key") if one_row else F.col("name.no_id") | F.coalesce(F.col("name.id") == F.col("least.id"), F.lit(False))
+    rows = cut(rows.groupBy(F.col("name.key").alias("_key"), stays.alias("stays")).agg(F.count("*").alias("k")).filter("not stays or k > 1"))
+    keyed = docs.withColumn("_key", key)
+    if not one_row:
+        return keyed.join(rows.filter("not stays"), "_key", "left_anti").select(docs.columns)
+    # rows repeated under the id and text that stay: the first stored one
+    again = with_small(keyed.withColumn("_at", F.monotonically_increasing_id()), rows.filter("stays").select("_key"), ["_key"], "left_semi")
+    again = again.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), "_at").alias("_row")).select("_row.*")
+    return keyed.join(rows, "_key", "left_anti").select(docs.columns).unionByName(again)

@@ -172,6 +172,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert minmax.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    x, y, z = words(30, 1), words(30, 2), words(30, 3)
+    docs = frame(spark, [x, x, x, x.upper(), y, y, z, z, z, None, None, ""], [3, 3, 7, 7, 7, 9, None, None, 11, 5, 5, None])
+    got = sorted(((r.doc_id, r.text) for r in minmax.deduplicate(docs, one_row=True).collect()), key=str)
+    assert got == sorted([(3, x), (7, y), (11, z), (5, None), (5, None), (None, "")], key=str)
+    no_ids = frame(spark, [z, z], [None, None]).withColumn("source", F.lit("s"))
+    assert minmax.deduplicate(no_ids, one_row=True).count() == 1
+    byid = sorted(((r.doc_id, r.text) for r in minmax.deduplicate(docs).filter("text <> ''").collect()), key=str)
+    assert byid == sorted([(3, x), (3, x), (7, y), (None, z), (None, z), (11, z)], key=str)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(3, 3), (2, 1)], "a long, b long")
     got = components.components(links).collect()
