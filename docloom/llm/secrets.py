@@ -3,7 +3,9 @@
 Spans are found in every whole text with built-in functions only.  The hash of
 each candidate value is then counted over the corpus by distinct repositories
 and owners: a value many owners publish is a copied example, a value of one or
-two owners that looks random is a live credential.
+two owners that looks random is a live credential.  ``redact`` asks base kinds
+only for a value that is no placeholder, by a test relative to its length;
+``scan`` asks all kinds for the strict test its query is defined by.
 
 Defined cases: a null or empty text has no spans; a null owner or repository
 counts as one unnamed owner or repository; repeated rows keep one result each
@@ -13,6 +15,8 @@ columns are ignored by ``scan`` and kept by ``redact``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,10 @@ KINDS = ("assign", "access", "hex")
 # Added kind: long mixed tokens, kept where ownership says live.
 OPAQUE = "[A-Za-z0-9_-]{20,}"
 
+# A value of up to 64 characters, all such words and at most three closing digits, is nobody's credential.
+PLACEHOLDER = ("(?i)^[._/+=-]*((your|my|the|some|insert|enter|replace|change|put|goes|here|this|with|me|it|example|sample|dummy|fake|placeholder|default|required|optional|"
+               "undefined|null|none|true|false|string|value|redacted|hidden|todo|password|passwd|secret|token|api|key|access|user|name|x{3,}+)[._/+=-]*+)+[0-9]{0,3}$")
+
 EXAMPLE_OWNERS = 3
 SPAN = "array<struct<start:int,stop:int,kind:int,value:string>>"
 
@@ -73,11 +81,19 @@ def spelled(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def looks_random(value: Column) -> Column:
-    """No placeholder: at least eight different characters, not letters only."""
+def looks_random(value: Column, kind: Column | None = None) -> Column:
+    """The strict test: at least eight different characters, not letters only."""
     return (F.size(F.array_distinct(F.split(value, ""))) >= 8) & value.rlike("[0-9]")
 
 
+def no_placeholder(value: Column, kind: Column) -> Column:
+    """Base kinds: half as many different characters as the value is long, eight
+    at most, and not made of placeholder words alone; a hex value also holds a
+    digit.  Added kind: the strict test."""
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= F.least(F.lit(8), F.ceil(F.length(value) / 2))
+    return F.when(kind == 3, looks_random(value)).otherwise(varied & F.when(F.length(value) > 64, True).otherwise(~value.rlike(PLACEHOLDER)) & ((kind != 2) | value.rlike("[0-9]")))
+
+
 def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """(value_hash, n_owners, n_repositories, live) of candidate rows
     (value_hash, random, owner, repository).  Each level is aggregated before
@@ -89,9 +105,10 @@ def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> Da
 
 
 def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-         example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+         example_owners: int = EXAMPLE_OWNERS, judge: Callable[[Column, Column], Column] = looks_random) -> DataFrame:
     """(doc_id, spans, verdicts) per row: ``spans`` the base spans and the live
-    added ones, ``verdicts`` (n_owners, n_repositories, live) of each."""
+    added ones, ``verdicts`` (n_owners, n_repositories, live) of each.  ``judge``
+    tells of (value, kind) whether few owners make it live."""
     owner = F.col("source") if owner is None else owner
     repository = F.col(id_col) if repository is None else repository
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -99,7 +116,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
                            name(repository).alias("repository"), found_spans(F.col(text_col)).alias("s")))
     each = rows.filter(F.size("s") > 0).select("_row", "owner", "repository", F.explode("s").alias("s")).select(
         "_row", "owner", "repository", F.struct("s.start", "s.stop", "s.kind").alias("s"), F.sha2(F.col("s.value"), 256).alias("value_hash"),
-        looks_random(F.col("s.value")).alias("random"))
+        judge(F.col("s.value"), F.col("s.kind")).alias("random"))
     # written first, so that both sides of the join come from plain exchanges and a hot value can be split
     owned = cut(ownership(each, example_owners))
     judged = each.join(owned, "value_hash").filter((F.col("s.kind") < 3) | F.col("live"))
@@ -110,7 +127,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", owner: Column | None = None, repository: Column | None = None,
-           example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+           example_owners: int = EXAMPLE_OWNERS, judge: Callable[[Column, Column], Column] = no_placeholder) -> DataFrame:
     """``docs`` with every live value replaced by ``mark``; copied examples and
     clean rows stay as they are.  Rows without a candidate never leave their
     task; only rows with one are joined."""
@@ -121,7 +138,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", owner: Column | None = None,
     rows = docs.filter(some).withColumn("_spans", found_spans(F.col("text"))).withColumn("_row", F.struct(F.sha2("text", 256), name(owner), name(repository)))
     each = rows.select("_row", name(owner).alias("owner"), name(repository).alias("repository"), F.explode("_spans").alias("s"))
     # written once: ownership and masking both read the spans
-    each = cut(each.withColumn("value_hash", F.sha2(F.col("s.value"), 256)).withColumn("random", looks_random(F.col("s.value"))))
+    each = cut(each.withColumn("value_hash", F.sha2(F.col("s.value"), 256)).withColumn("random", judge(F.col("s.value"), F.col("s.kind"))))
     owned = cut(ownership(each, example_owners))
     live = each.join(owned.filter("live"), "value_hash").groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("s.start", "s.stop"))).alias("_live"))
     live = cut(live)

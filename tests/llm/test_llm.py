@@ -60,6 +60,16 @@ def test_ownership_splits_examples_from_live(spark):
     assert secrets.redact(nulls).count() == 5 and secrets.redact(frame(spark, ODD)).exceptAll(frame(spark, ODD)).count() == 0
 
 
+def test_redact_asks_short_values_for_ownership(spark):
+    live = ["password = aab2c3d4", "token: deadbeef01", "secret=correcthorse", "api_key = Tr0ub4do", "password: Passwort", "AKIA" + "QWERTYQWERTY"]
+    idle = ["token = " + "token" * 2000, "password = your_password_here", "token = changeme", "secret: xxxxxxxxxxxx", "token = aaaaaaaa1", "password=password123"]
+    out = {r.doc_id: r.text for r in secrets.redact(frame(spark, [*live, *idle])).collect()}
+    assert all(out[i] == "[secret]" for i in range(len(live))), out
+    assert all(out[i + len(live)] == t for i, t in enumerate(idle)), out
+    docs = frame(spark, ["token: deadbeef01"] * 3).withColumn("source", F.col("doc_id").cast("string"))  # three owners: an example
+    assert secrets.redact(docs).filter("text like 'token%'").count() == 3
+
+
 # 2 mixing
 
 def test_budget_shortage_goes_to_siblings_first(spark):
