@@ -3,8 +3,8 @@
 A text is a vector of hashed letter 1- to 3-grams.  One-versus-one machines
 tell language families apart first, then one-versus-one machines of a family
 tell its languages apart.  The machines are fitted by dual coordinate descent
-on the driver, on a bounded sample of labelled rows (``per_lang`` of each
-language at most, by hash order); every document is scored whole in one map.
+on the driver, on a bounded sample of labelled texts (``per_lang`` different
+ones of each language at most, by hash order); every document is scored whole in one map.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 without a labelled row every text is ``und``; with one learnt language that one
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import held_out, small_batches
+from docloom.llm.common import cut, held_out, small_batches, with_small
 
 DIM = 1 << 12
 PER_LANG = 600
@@ -130,23 +130,32 @@ class Model:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, families: dict[str, str] | None = None, dim: int = DIM) -> Model:
-    """Model of (text, lang) rows.  Per language the ``per_lang`` rows of least
-    hash are learnt; their vectors are all that reaches the driver."""
+    """Model of (text, lang) rows.  Per language the ``per_lang`` different texts
+    of least hash are learnt; their vectors are all that reaches the driver.  No
+    language is left out."""
     small_batches(docs.sparkSession)
-    rows = docs.filter("lang is not null and text is not null").withColumn("_h", F.xxhash64("text"))
-    n = rows.groupBy("lang").count().withColumn("_share", F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("count")))
-    # a hash threshold first, so that ranking meets about 1.5 x per_lang rows of each language
-    near = rows.join(F.broadcast(n.orderBy(F.desc("count"), "lang").limit(5000)), "lang").filter(F.pmod("_h", F.lit(1_000_003)) < F.col("_share") * 1_000_003)
+    rows = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
+    each = rows.select("lang", "_h").distinct()  # copies of a text take one place
+    n = each.groupBy("lang").count().withColumn("_share", F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("count")))
+    # a hash threshold first, so that ranking meets about 1.5 x per_lang texts of each language
+    near = with_small(each, n, ["lang"], "inner").filter(F.pmod("_h", F.lit(1_000_003)) < F.col("_share") * 1_000_003)
     w = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1_000_003)), "_h")
-    picked = near.select("lang", "text", F.row_number().over(w).alias("_r")).filter(F.col("_r") <= per_lang)
+    picked = cut(near.select("lang", "_h", F.row_number().over(w).alias("_r")).filter(F.col("_r") <= per_lang).select("lang", "_h"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Features(dim)
+        make, seen = Features(dim), set()
         for b in batches:
-            got = [(lang, v) for lang, v in zip(b["lang"], map(make, b["text"])) if v is not None]
-            yield pd.DataFrame({"lang": [g[0] for g in got], "v": [g[1].astype(np.float16).tobytes() for g in got]})
-
-    got = picked.select("lang", "text").mapInPandas(vectors, "lang string, v binary").collect()
+            out = []
+            for lang, text, h in zip(b["lang"], b["text"], b["_h"]):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    v = make(text)
+                    if v is not None:
+                        out.append((lang, h, v.astype(np.float16).tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "h", "v"])
+
+    got = with_small(rows, picked, ["lang", "_h"], "left_semi").mapInPandas(vectors, "lang string, h long, v binary")
+    got = got.dropDuplicates(["lang", "h"]).select("lang", "v").collect()
     got.sort(key=lambda r: (r.lang, zlib.crc32(r.v), bytes(r.v)))
     x = np.array([np.frombuffer(r.v, dtype=np.float16) for r in got], dtype=np.float32).reshape(-1, dim)
     return Model([r.lang for r in got], x, FAMILIES if families is None else families, dim)

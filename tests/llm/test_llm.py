@@ -142,6 +142,14 @@ def test_language(spark):
     assert linear.predict(frame(spark, ODD), none).filter("lang_pred = 'und' and score = 0").count() == 8
 
 
+def test_language_learns_different_texts_of_every_language(spark, monkeypatch):
+    monkeypatch.setattr(linear, "Model", lambda langs, x, families, dim: (langs, x))
+    langs, x = linear.fit(frame(spark, [words(20, i % 30) for i in range(600)]).select("text", "lang"), per_lang=10, dim=64)
+    assert len(langs) == 10 and len(np.unique(x, axis=0)) == 10
+    many = spark.range(5003).select(F.concat(F.lit("text of "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    assert len(set(linear.fit(many, dim=64)[0])) == 5003
+
+
 # 4 near-duplicates
 
 def brute_groups(rows, size=2):
