@@ -1,18 +1,18 @@
-"""Exact repeats of long byte strings, after longest-previous-factor arrays.
+"""Exact repeats of long byte strings, by hash anchors.
 
-A string of ``length`` bytes repeats where two suffixes share so long a prefix:
-that is what neighbours in suffix order (previous and next smaller positions)
-tell.  The suffixes are never sorted as a whole.  Every window of ``length``
-bytes is assigned to an anchor, the least hash of the ``gram``-byte strings
-inside it, so equal windows have equal anchors at equal offsets and meet in one
-group.  A group brings its windows into suffix order (numbers that stand for
-their bytes) and compares neighbours.
+Hash anchors stand in for suffix order and longest-previous-factor arrays,
+neither of which is built.  Every window of ``length`` bytes is assigned to an
+anchor, the least hash of the ``gram``-byte strings inside it, so equal windows
+have equal anchors at equal offsets and meet in one group.  A group sorts the
+64-bit hashes of its windows, so that equal ones are neighbours; that order says
+nothing else.  ``remove(keep="first")`` also finds the least (document, row,
+byte) of each repeated window, its earlier match.
 
 1. Anchors of all texts are hashed and counted; those met twice enter a Bloom
    filter of fixed size (a fuller filter only lets more candidates through).
 2. A second map cuts the context of each candidate anchor: the bytes of all
    windows assigned to it.  Equal contexts collapse.
-3. Groups of one anchor order their windows.  A group of more than ``HOT``
+3. Groups of one anchor order the hashes of their windows.  A group of more than ``HOT``
    contexts is not gathered: slices of its windows, then windows, go by their
    own hash through aggregates that combine before the shuffle.
 4. Repeated windows of a text become byte ranges, keyed by the text's digest.
@@ -137,15 +137,17 @@ def in_bloom(words: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return one(h & mask) & one(h >> np.uint64(32) & mask)
 
 
-def contexts(docs: DataFrame, words: np.ndarray, length: int, gram: int, bits: int) -> DataFrame:
-    """(text_key, h, ctx_key, at, n_win, ctx): candidate anchors with the bytes of their windows."""
+def contexts(docs: DataFrame, words: np.ndarray, length: int, gram: int, bits: int, ordered: bool = False) -> DataFrame:
+    """(text_key, h, ctx_key, first, off, ctx): candidate anchors with the bytes of
+    their windows.  ``ordered`` carries the place (doc, row) of the text."""
+    place = ["doc", "row"] if ordered else []
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, filt = Anchors(length, gram), held.value
         for b in batches:
             out = []
-            for t in b["text"]:
+            for t, *at_row in zip(b["text"], *(b[c] for c in place)):
                 raw = as_bytes(t)
                 if len(raw) < length:
                     continue
@@ -154,10 +156,10 @@ def contexts(docs: DataFrame, words: np.ndarray, length: int, gram: int, bits: i
                     ok = in_bloom(filt, h, bits)
                     for x, p, f, e in zip(h[ok].view(np.int64).tolist(), at[ok].tolist(), first[ok].tolist(), last[ok].tolist()):
                         ctx = raw[f:e + length]
-                        out.append((key, x, hashlib.blake2b(ctx, digest_size=12, salt=(p - f).to_bytes(4, "big")).digest(), f, p - f, ctx))
-            yield pd.DataFrame(out, columns=["text_key", "h", "ctx_key", "first", "off", "ctx"])
+                        out.append((key, x, hashlib.blake2b(ctx, digest_size=12, salt=(p - f).to_bytes(4, "big")).digest(), f, p - f, ctx, *at_row))
+            yield pd.DataFrame(out, columns=["text_key", "h", "ctx_key", "first", "off", "ctx", *place])
 
-    return docs.select("text").mapInPandas(scan, "text_key binary, h long, ctx_key binary, first int, off int, ctx binary")
+    return docs.select("text", *place).mapInPandas(scan, "text_key binary, h long, ctx_key binary, first int, off int, ctx binary" + "".join(f", {c} long" for c in place))
 
 
 def _runs(flags: np.ndarray) -> list[list[int]]:
@@ -167,8 +169,8 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
 
 def ordered_repeats(group: pd.DataFrame, length: int, roll: Rolling) -> list[list[list[int]]]:
     """Per context of one anchor: the runs of window starts that another context
-    of the group holds too.  Windows are put in suffix order by offset and bytes;
-    a window repeats if its neighbour before or after is equal."""
+    of the group holds too.  Windows are sorted by offset and hash; a window
+    repeats if its neighbour before or after is equal."""
     offs, keys, owner = [], [], []
     for i, (ctx, off) in enumerate(zip(group["ctx"], group["off"])):
         h = roll(np.frombuffer(ctx, dtype=np.uint8), length)
@@ -185,6 +187,28 @@ def ordered_repeats(group: pd.DataFrame, length: int, roll: Rolling) -> list[lis
     return [_runs(twice[a:b] | (n > 1)) for a, b, n in zip(ends, ends[1:], group["n"])]
 
 
+def slice_udf(length: int):
+    @F.pandas_udf("array<struct<s:int,core:long,whole:long,i:int,v:array<long>>>")
+    def slices(c: pd.Series, off: pd.Series) -> pd.Series:
+        roll = Rolling()
+
+        def one(x, o):
+            raw = np.frombuffer(x, dtype=np.uint8)
+            v, core = roll(raw, length), roll(raw, length - SLICE + 1)
+            at = np.arange(len(v)) - o  # offsets from the anchor; slices start at multiples of SLICE
+            out = []
+            for s in range(int(at[0]) // SLICE, int(at[-1]) // SLICE + 1):
+                i, j = max(0, s * SLICE + o), min(len(v), (s + 1) * SLICE + o)
+                part = v[i:j] * np.uint64(2) + at[i:j].astype(np.uint64)
+                whole = hashlib.blake2b(part.tobytes(), digest_size=8, salt=(i - s * SLICE - o).to_bytes(4, "big")).digest()
+                out.append({"s": s, "core": int(core[s * SLICE + o + SLICE - 1].view(np.int64)), "whole": int.from_bytes(whole, "big", signed=True), "i": i, "v": part.view(np.int64).tolist()})
+            return out
+
+        return pd.Series([one(x, o) for x, o in zip(c, off)], dtype=object)
+
+    return slices
+
+
 def repeated_windows(ctx: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """(ctx_key, runs) of distinct contexts (ctx_key, h, off, n, ctx)."""
     size = ctx.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("m")).filter("m > 1")
@@ -207,29 +231,11 @@ def repeated_windows(ctx: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     cold = ctx.join(size.filter(F.col("k") <= hot).select("h"), "h")
     cold = cold.repartition("h").sortWithinPartitions("h").mapInPandas(order, schema)
 
-    @F.pandas_udf("array<struct<s:int,core:long,whole:long,i:int,v:array<long>>>")
-    def slices(c: pd.Series, off: pd.Series) -> pd.Series:
-        roll = Rolling()
-
-        def one(x, o):
-            raw = np.frombuffer(x, dtype=np.uint8)
-            v, core = roll(raw, length), roll(raw, length - SLICE + 1)
-            at = np.arange(len(v)) - o  # offsets from the anchor; slices start at multiples of SLICE
-            out = []
-            for s in range(int(at[0]) // SLICE, int(at[-1]) // SLICE + 1):
-                i, j = max(0, s * SLICE + o), min(len(v), (s + 1) * SLICE + o)
-                part = v[i:j] * np.uint64(2) + at[i:j].astype(np.uint64)
-                whole = hashlib.blake2b(part.tobytes(), digest_size=8, salt=(i - s * SLICE - o).to_bytes(4, "big")).digest()
-                out.append({"s": s, "core": int(core[s * SLICE + o + SLICE - 1].view(np.int64)), "whole": int.from_bytes(whole, "big", signed=True), "i": i, "v": part.view(np.int64).tolist()})
-            return out
-
-        return pd.Series([one(x, o) for x, o in zip(c, off)], dtype=object)
-
     # Hot anchors, by aggregates that combine before the shuffle.  The windows of
     # a slice share a core of bytes: a core met once rules them all out.  Slices
     # met twice repeat whole; only windows of the others are counted one by one.
     warm = ctx.join(size.filter(F.col("k") > hot).select("h"), "h")
-    warm = cut(warm.select("ctx_key", "n", "h", F.explode(slices("ctx", "off")).alias("x")).select("ctx_key", "n", "h", "x.*"))
+    warm = cut(warm.select("ctx_key", "n", "h", F.explode(slice_udf(length)("ctx", "off")).alias("x")).select("ctx_key", "n", "h", "x.*"))
     cores = cut(warm.groupBy("h", "s", "core").agg(F.sum("n").alias("m")).filter("m > 1").select("h", "s", "core"))
     warm = warm.join(cores, ["h", "s", "core"], "left_semi")
     kinds = cut(warm.groupBy("h", "s", "whole").agg(F.sum("n").alias("m"), F.first("ctx_key").alias("ctx_key"), F.first("i").alias("i"), F.first("v").alias("v")))
@@ -253,6 +259,103 @@ def ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
         "text_key", (F.col("first") + F.col("r")[0]).alias("lo"), (F.col("first") + F.col("r")[1] - 1 + length).alias("hi"))
 
 
+def earlier_windows(ctx: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+    """(ctx_key, later, runs) of distinct contexts (ctx_key, h, off, n, ctx, doc,
+    row, at), the last three the place of its first occurrence: runs of repeated
+    windows that stand at their first place there, and (``later``) of windows
+    another context holds at an earlier place."""
+    size = cut(ctx.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("m")).filter("m > 1").select("h", "k"))
+    schema = "ctx_key binary, later boolean, runs array<array<int>>"
+
+    def told(g: pd.DataFrame, roll: Rolling) -> list[tuple]:
+        rank = np.empty(len(g), dtype=np.int64)
+        rank[np.lexsort((g["at"], g["row"], g["doc"]))] = np.arange(len(g))
+        keys = [roll(np.frombuffer(c, dtype=np.uint8), length) for c in g["ctx"]]
+        sizes = np.array([len(k) for k in keys])
+        key, own = np.concatenate(keys), np.repeat(np.arange(len(g)), sizes)
+        off = np.concatenate([np.arange(n) - o for n, o in zip(sizes, g["off"])])
+        order = np.lexsort((rank[own], key, off))
+        same = (key[order][1:] == key[order][:-1]) & (off[order][1:] == off[order][:-1])
+        again, later = (g["n"].to_numpy() > 1)[own], np.zeros(len(key), dtype=bool)
+        again[order[:-1]] |= same
+        later[order[1:]] |= same
+        ends = np.cumsum([0, *sizes])
+        return [(c, late, r) for c, a, b in zip(g["ctx_key"], ends, ends[1:])
+                for late, r in ((True, _runs(later[a:b])), (False, _runs((again & ~later)[a:b]))) if r]
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roll, rest = Rolling(), None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            open_ = b["h"] == b["h"].iloc[-1]  # the last group may go on
+            rest = b[open_]
+            yield pd.DataFrame([r for _, g in b[~open_].groupby("h", sort=False) for r in told(g, roll)], columns=["ctx_key", "later", "runs"])
+        if rest is not None:
+            yield pd.DataFrame(told(rest, roll), columns=["ctx_key", "later", "runs"])
+
+    cold = ctx.join(size.filter(F.col("k") <= hot).select("h"), "h")
+    cold = cold.repartition("h").sortWithinPartitions("h").mapInPandas(order, schema)
+    # Hot anchors as in repeated_windows; the least place goes along as a minimum.
+    place = F.struct("doc", "row", "at")
+    warm = ctx.join(size.filter(F.col("k") > hot).select("h"), "h")
+    warm = cut(warm.select("ctx_key", "n", "h", place.alias("place"), F.explode(slice_udf(length)("ctx", "off")).alias("x")).select("ctx_key", "n", "h", "place", "x.*"))
+    cores = cut(warm.groupBy("h", "s", "core").agg(F.sum("n").alias("m")).filter("m > 1").select("h", "s", "core"))
+    warm = warm.join(cores, ["h", "s", "core"], "left_semi")
+    kinds = warm.groupBy("h", "s", "whole").agg(F.sum("n").alias("m"), F.min(F.struct("place", "ctx_key", "i", "v")).alias("f"))
+    kinds = cut(kinds.select("h", "s", "whole", "m", "f.*"))
+    each = kinds.select("h", "m", "place", "ctx_key", "i", F.posexplode("v").alias("p", "w"))
+    least = cut(each.groupBy("h", "w").agg(F.sum("m").alias("k"), F.min("place").alias("least")).filter("k > 1").select("h", "w", "least"))
+    one = each.join(least, ["h", "w"]).select("ctx_key", (F.col("place") != F.col("least")).alias("later"), F.array(F.col("i") + F.col("p"), F.col("i") + F.col("p") + 1).alias("r"))
+    whole = warm.join(kinds.filter("m > 1").select("h", "s", "whole", F.col("ctx_key").alias("_f")), ["h", "s", "whole"]).filter("ctx_key <> _f")
+    whole = whole.select("ctx_key", F.lit(True).alias("later"), F.array(F.col("i"), F.col("i") + F.size("v")).alias("r"))
+    back = one.unionByName(whole).groupBy("ctx_key", "later").agg(F.array_sort(F.collect_list("r")).alias("runs"))
+    return cold.unionByName(back)
+
+
+def with_later_ranges(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bits: int = BLOOM_BITS) -> DataFrame:
+    """``docs`` with ``_cut`` (lo, hi, later as 0 or 1): byte ranges of windows met
+    earlier, and of the first places of repeated windows.  Places are ordered by
+    ``id_col`` (null last), then stored row, then byte.  Equal texts collapse to
+    their first row; the others are cut whole."""
+    small_batches(docs.sparkSession, 1000)
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))  # written: the number stays
+    place = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.col("_row").alias("row"))
+    some = rows.filter(F.octet_length("text") >= length)
+    firsts = cut(some.groupBy(key.alias("text_key")).agg(F.min(place).alias("f")).select("text_key", "f.*"))
+    texts = stored(some.select("text", F.col("_row").alias("row")).join(firsts.select("doc", "row"), "row"))
+    occ = stored(contexts(texts, bloom(repeated_anchors(texts, length, gram), bits), length, gram, bits, ordered=True))
+    at = F.struct("doc", "row", (F.col("first") + F.col("off")).alias("at"))
+    ctx = occ.groupBy("ctx_key").agg(F.first("h").alias("h"), F.first("off").alias("off"), F.count("*").alias("n"), F.first("ctx").alias("ctx"), F.min(at).alias("place"))
+    ctx = stored(ctx.select("ctx_key", "h", "off", "n", "ctx", "place.*"))
+    seen = occ.select("text_key", "ctx_key", "first", F.length("ctx").alias("size"), at.alias("here")).join(ctx.select("ctx_key", F.struct("doc", "row", "at").alias("place")), "ctx_key")
+    copies = seen.filter("here <> place").select("text_key", F.array("first", F.col("first") + F.col("size"), F.lit(1)).alias("c"))
+    runs = cut(earlier_windows(ctx, length, hot))
+    own = seen.filter("here = place").join(runs, "ctx_key").select("text_key", "first", F.col("later").cast("int").alias("l"), F.explode("runs").alias("r"))
+    own = own.select("text_key", F.array(F.col("first") + F.col("r")[0], F.col("first") + F.col("r")[1] - 1 + length, F.col("l")).alias("c"))
+    found = cut(copies.unionByName(own).groupBy("text_key").agg(F.collect_set("c").alias("_cut")))
+    found = cut(firsts.select("text_key", F.col("row").alias("_first")).join(found, "text_key", "left"))
+    out = rows.withColumn("text_key", key).join(found, "text_key", "left")
+    whole = F.array(F.array(F.lit(0), F.octet_length("text"), F.lit(1)))
+    return out.withColumn("_cut", F.when(F.col("_row") != F.col("_first"), whole).otherwise(F.col("_cut"))).drop("text_key", "_row", "_first")
+
+
+def without(later: list, first: list) -> list[list[int]]:
+    """Merged ranges ``later`` less the ranges ``first``."""
+    out, keep = [], merged(first)
+    for lo, hi in merged(later):
+        for a, b in keep:
+            if b > lo and a < hi:
+                if a > lo:
+                    out.append([lo, a])
+                lo = max(lo, b)
+        if lo < hi:
+            out.append([lo, hi])
+    return out
+
+
 def merged(pieces: list) -> list[list[int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(pieces):
@@ -271,22 +374,29 @@ def with_ranges(docs: DataFrame, **kw) -> DataFrame:
     return docs.withColumn("text_key", key).join(cut(found), "text_key", "left").drop("text_key")
 
 
-def remove(docs: DataFrame, **kw) -> DataFrame:
+def remove(docs: DataFrame, keep: str = "none", **kw) -> DataFrame:
     """``docs`` with repeats cut from their texts; the rest of a cut character
-    goes with it."""
+    goes with it.  ``keep="first"`` leaves the first copy of every repeated
+    window whole and cuts what was met earlier; ``"none"`` cuts all copies."""
+    if keep not in ("none", "first"):
+        raise ValueError("keep is none or first")
+    ranged = with_later_ranges if keep == "first" else with_ranges
+
     @F.pandas_udf("string")
     def rest(text: pd.Series, cuts: pd.Series) -> pd.Series:
         def one(t, c):
             if t is None or c is None:
                 return t
             b, out, at = as_bytes(t), [], 0
-            for lo, hi in merged([list(x) for x in c]):
+            c = [list(x) for x in c]
+            spans = without([x[:2] for x in c if x[2]], [x[:2] for x in c if not x[2]]) if keep == "first" else merged(c)
+            for lo, hi in spans:
                 out.append(b[at:lo])
                 at = hi
             return b"".join([*out, b[at:]]).decode("utf-8", "ignore")
         return pd.Series([one(t, c) for t, c in zip(text, cuts)], dtype=object)
 
-    return with_ranges(docs, **kw).withColumn("text", rest("text", "_cut")).select(docs.columns)
+    return ranged(docs, **kw).withColumn("text", rest("text", "_cut")).select(docs.columns)
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:

@@ -270,6 +270,34 @@ def test_repeats_against_brute_force(spark, hot):
     assert repeats.digest(frame(spark, []).select("doc_id", "text")).count() == 0
 
 
+def brute_first(texts, n):
+    raw, seen, out = [t.encode() for t in texts], {}, []
+    for i, b in enumerate(raw):
+        for k in range(len(b) - n + 1):
+            seen.setdefault(b[k:k + n], []).append((i, k))
+    for i, b in enumerate(raw):
+        late, first = np.zeros(len(b), dtype=bool), np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - n + 1):
+            at = seen[b[k:k + n]]
+            if len(at) > 1:
+                (first if at[0] == (i, k) else late)[k:k + n] = True
+        if b in raw[:i] and len(b) >= n:
+            first[:], late[:] = False, True
+        out.append(bytes(np.frombuffer(b, np.uint8)[~late | first]).decode())
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 192])
+def test_repeats_keep_the_first_copy(spark, hot):
+    a, b = words(40, 1), words(60, 2)
+    texts = [words(20, 10 + i) + " " + a[i % 5:] + " " + words(9, 30 + i) for i in range(8)] + [b, b, b + b, "ab" * 200, a + b, "short", words(50, 77)]
+    docs = frame(spark, texts[::-1], range(len(texts))[::-1])
+    got = {r.doc_id: r.text for r in repeats.remove(docs, keep="first", length=80, gram=24, hot=hot, bits=16).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_first(texts, 80)
+    same = repeats.remove(frame(spark, [b, b, b], [4, 4, None]), keep="first", length=80, gram=24, hot=hot, bits=16).collect()
+    assert sorted((r.doc_id is None, r.text) for r in same) == [(False, ""), (False, b), (True, "")]
+
+
 # 9 decontamination
 
 @pytest.mark.parametrize("block", [7, 500_000])
