@@ -4,8 +4,8 @@ The windows of the benchmark are hashed into a set that every task holds; each
 document is scanned once, every hash hit is verified word by word, and the hit
 words mark spans to cut or documents to drop.  No document row is shuffled.  A
 benchmark beyond ``block_windows`` is split by hash into blocks of at most
-about that size; each block adds its hits in a further map over the same rows,
-so the held set stays bounded and no window is left out.
+about that size; the rows with the hits of a block are written before the next
+block is read, so driver and tasks hold one block and no window is left out.
 
 Defined cases: null or empty texts have no words and no hits; items without a
 word are ignored; an item without an id marks words but is not listed; repeated
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_batches
+from docloom.llm.common import small_batches, stored
 
 WINDOW = 10
 BLOCK_WINDOWS = 500_000
@@ -122,6 +122,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wind
                 yield b.assign(_hits=hits, _items=items, _words=sizes)
 
         out = out.mapInPandas(scan, schema)
+        if k < blocks - 1:
+            out = stored(out)
+            held.unpersist()
     return out
 
 

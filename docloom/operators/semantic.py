@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions.filters import compile_filters
 from docloom.functions.scores import rrf
+from docloom.llm.common import stored
 from docloom.operators.retrieval import cut
 
 MAX_QUERY_BLOCK = 2048  # query vectors held by one scan; more queries scan in blocks
@@ -95,8 +96,10 @@ def dense(query_vectors: DataFrame, vectors: DataFrame, k: int = 10, metric: str
 
     Filters apply before the search, so k results come back whenever k units
     pass.  Query vectors are read in blocks by the hash of the row, of half of
-    ``MAX_QUERY_BLOCK`` on average: that is what each task holds, however many
-    queries, or vectors of one query, there are; none is left out."""
+    ``MAX_QUERY_BLOCK`` on average: that is what driver and tasks hold, however many
+    queries, or vectors of one query, there are; none is left out.  Beyond one
+    block, the k best of a block are written before the next is read.  Only
+    repeated rows (same query, same vector) share a block whatever their number."""
     if filters:
         if docs is None:
             raise ValueError("filters need the docs relation")
@@ -112,6 +115,8 @@ def dense(query_vectors: DataFrame, vectors: DataFrame, k: int = 10, metric: str
         if not rows:
             continue
         hit = _scan(rows, vectors, k, metric)
+        if blocks > 1:
+            hit = stored(cut(hit, k).select("query_id", "doc_idx", "score"))
         out = hit if out is None else out.unionByName(hit)
     if out is None:
         out = q.sparkSession.createDataFrame([], HIT)

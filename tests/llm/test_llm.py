@@ -317,6 +317,22 @@ def test_decontaminate_against_brute_force(spark, block):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_blocks_are_written_one_by_one(spark, monkeypatch):
+    from docloom.operators import semantic
+
+    told = []
+    for module in (decontaminate, semantic):
+        monkeypatch.setattr(module, "stored", lambda df: told.append(1) or df.localCheckpoint(), raising=False)
+    decontaminate.mark(frame(spark, [words(40, 5)]), spark.createDataFrame([(1, words(40, 5))], "item_id long, text string"), block_windows=11).count()
+    assert len(told) == 2  # 31 windows, three blocks
+    r = np.random.default_rng(2)
+    vec = lambda n, name: spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(n)], f"{name} long, vector array<double>")
+    q, v = vec(9, "query_id").cache(), vec(30, "doc_idx").cache()
+    one = semantic.dense(q, v, 3).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(semantic, "MAX_QUERY_BLOCK", 6)
+    assert semantic.dense(q, v, 3).orderBy("query_id", "rank").collect() == one and len(told) > 2
+
+
 # pipeline
 
 def test_pipeline_stages(spark):
