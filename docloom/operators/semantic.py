@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions.filters import compile_filters
 from docloom.functions.scores import rrf
-from docloom.llm.common import stored
 from docloom.operators.retrieval import cut
+from docloom.sources.io import stored
 
 MAX_QUERY_BLOCK = 2048  # query vectors held by one scan; more queries scan in blocks
 HIT = "query_id long, doc_idx long, score double"

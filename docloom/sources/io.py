@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -12,6 +14,31 @@ from pyspark.sql import functions as F
 from docloom.functions.filters import compile_filters
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir).  Only a session
+    of one local JVM that names none gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="docloom-")
+    return _LOCAL["dir"]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a zstd Parquet table in the shared folder and reread:
+    what follows neither recomputes it nor depends on the executors that made it."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -91,16 +118,11 @@ def list_strategies(df: DataFrame, col: str = "strategy_name") -> DataFrame:
     return df.select(col).distinct()
 
 
-def checkpoint(df: DataFrame, default_dir: str | None = None) -> DataFrame:
-    """Cut lineage on the shared folder the session names; ``default_dir`` is
-    only used where the session names none."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = folder or default_dir
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(folder)
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage on the folder all executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

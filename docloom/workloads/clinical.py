@@ -189,7 +189,7 @@ _PAGE = """np as (select document_id, page_number::bigint as chunk_id, string_ag
 
 def gathered(spark, d):
     """Entities are read several times here, so they are stored once first."""
-    return en.gather_entities(note_chunks(spark, d), checkpoint(entities(spark, d), inp.scratch(spark)))
+    return en.gather_entities(note_chunks(spark, d), checkpoint(entities(spark, d)))
 
 
 _VIT = "vt as (select document_id, element_id//5 as chunk_id, entity_type, normalized_value from (" + _rule_sql({"vital"}) + ") group by all)"

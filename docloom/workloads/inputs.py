@@ -17,15 +17,6 @@ from docloom.sources.io import spread
 ENTITY_WORD = "[A-Z][a-z]{7,}"
 
 
-def scratch(spark: SparkSession) -> str | None:
-    """Checkpoint folder for a local session that names none."""
-    if spark.sparkContext.master.startswith("local"):
-        import tempfile
-
-        return tempfile.mkdtemp(prefix="docloom-")
-    return None
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
