@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.io import checkpoint as cut
+from docloom.sources.io import shared_folder, stored
+
+__all__ = ["cut", "held_out", "shared_folder", "small_batches", "stored", "table", "with_small"]
+
 BROADCAST_ROWS = 1_000_000
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir).  Only a local
-    session that names none gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="docloom-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: what follows does not recompute it and
-    survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut`` as a zstd Parquet table, for wide intermediate rows."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
