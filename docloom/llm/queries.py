@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, linear, minmax, mixing, quality, repeats, secrets, simhash, toxicity, urls
+from docloom.llm import collocations, decontaminate, fptree, licenses, linear, minmax, mixing, quality, repeats, secrets, simhash, toxicity, urls
 from docloom.llm.common import held_out, table
 
 DOMAINS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
@@ -86,6 +86,18 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_fptree(spark: SparkSession, d: str) -> DataFrame:
+    return fptree.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op12_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.digest(table(spark, d, "documents"))
+
+
+def op13_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.mine(table(spark, d, "documents"))
+
+
 _SECRET = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 
 
@@ -192,6 +204,36 @@ select w.doc_id, coalesce(n.n, 0) n_shingles, r.component_id, r.component_id = w
 from w left join n using (doc_id) join (select doc_id, min(root) component_id from c group by doc_id) r using (doc_id)
 """
 
+FPTREE_SQL = f"""
+with d as (select row_number() over () r, doc_id, w from (select doc_id, {_WORDS9} w from documents) where len(w) > 0),
+s as (select count(*) nd, sum(len(w))::bigint nt from d),
+b as (select row_number() over () q, item_id, {_WORDS9} w from benchmark),
+bt as (select distinct q, item_id, t from (select q, item_id, unnest(w) t from b)),
+p as (select r, t, count(*) tf from (select r, unnest(w) t from d) where t in (select t from bt) group by all),
+f as (select t, floor(1000 * ln((2 * nd + 2)::double / (2 * count(*) + 1)))::bigint wt from p, s group by t, nd),
+sc as (select q, item_id, r, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(w) * nd) // nt)))))::bigint score
+    from bt join f using (t) join p using (t) join d using (r), s group by all),
+k as (select *, row_number() over (partition by q order by score desc, doc_id) rk from sc where score > 0)
+select item_id, rk::int "rank", doc_id, score from k where rk <= 50
+"""
+
+_PIECES13 = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')"
+COLLOCATIONS_SQL = f"""
+with p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') w from (select coalesce(lang, 'und') lang, unnest({_PIECES13}) piece from documents)),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from p, (select unnest([1, 2, 3]) k) where len(w) >= k)),
+f as (select lang, k size, phrase, count(*) a from g group by all),
+n as (select lang, sum(a)::bigint n from f where size = 1 group by lang),
+c as (select * from f where size > 1 and a >= 10),
+x as (select c.*, k, string_split(phrase, ' ') w from c, (select unnest([1, 2]) k) where k < size),
+y as (select x.lang, x.size, x.phrase, x.a, x.k, p1.a l, p2.a r, ((1000000::hugeint * x.a * x.a) // (p1.a::hugeint * p2.a))::bigint score from x
+    join f p1 on p1.lang = x.lang and p1.phrase = array_to_string(x.w[:x.k], ' ') join f p2 on p2.lang = x.lang and p2.phrase = array_to_string(x.w[x.k + 1:], ' ')),
+z as (select * from y qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+o as (select lang, phrase, max(a) longer from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) phrase from x where size = 3 and k = 1) group by all),
+t as (select z.*, row_number() over (partition by lang order by score desc, a desc, phrase) rk from z left join o using (lang, phrase) where o.longer is null or 100 * longer < 50 * a)
+select lang, rk "rank", phrase, a, l, r, n, score from t join n using (lang) where rk <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secrets, op2_mixing, op3_quality, op4_minmax, op5_urls, op6_simhash, op7_toxicity, op8_repeats, op9_decontaminate, op10_language)}
-ORACLES = {"op1_secrets": SECRETS_SQL, "op2_mixing": MIXING_SQL, "op4_minmax": MINMAX_SQL, "op5_urls": URLS_SQL, "op9_decontaminate": DECONTAMINATE_SQL}
+    op1_secrets, op2_mixing, op3_quality, op4_minmax, op5_urls, op6_simhash, op7_toxicity, op8_repeats, op9_decontaminate, op10_language, op11_fptree, op12_licenses, op13_collocations)}
+ORACLES = {"op1_secrets": SECRETS_SQL, "op2_mixing": MIXING_SQL, "op4_minmax": MINMAX_SQL, "op5_urls": URLS_SQL, "op9_decontaminate": DECONTAMINATE_SQL,
+           "op11_fptree": FPTREE_SQL, "op13_collocations": COLLOCATIONS_SQL}
