@@ -1,9 +1,15 @@
-"""The chunk worker on conversation turns as requests (batch form of the stream)."""
+"""Stream workers in batch form: the chunk worker on conversation turns, and an
+index that grows by batches of documents."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from docloom.operators import retrieval as rt
+from docloom.sources.io import shared_folder
+from docloom.streaming import ingest
 from docloom.streaming import requests as rq
 from docloom.workloads import inputs as inp
 from docloom.workloads import sqltext as S
@@ -19,3 +25,30 @@ def _(spark, d):
     r = rq.replies(rq.chunk_handler(rq.parse_requests(raw)))
     x = r.select("request_id", "ok", F.from_json("result", "array<struct<token_start:int,token_end:int>>").alias("c")).filter(F.size("c") > 0)
     return x.select("request_id", "ok", F.size("c").alias("chunks"), F.array_max(F.transform("c", lambda z: z["token_end"])).alias("last_token"))
+
+
+def grown(spark, d):
+    """An index root fed with all documents in four batches: the first holds
+    older texts of some of them and others that go, the last brings the rest."""
+    root = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    t = inp.texts(spark, d)
+    part = F.pmod(F.xxhash64("doc_idx"), F.lit(3))
+    old = t.filter(part == 2).withColumn("text", F.reverse("text"))
+    gone = t.filter(part == 1).select((-1 - F.col("doc_idx")).alias("doc_idx"), "text")
+    ingest.append(t.filter(part == 0).unionByName(old).unionByName(gone), 0, root)
+    ingest.append(t.filter(part == 1), 1, root)
+    ingest.append(t.filter(part == 1), 1, root)  # delivered again
+    ingest.append(t.filter(part == 2), 2, root, deleted=gone)
+    return root
+
+
+@query("st_grown_bm25", S.select([S.LEX, S.bm25_ctes(10)], "select query_id, doc_idx, score, rank from bm25"))
+def _(spark, d):
+    return rt.bm25(inp.queries(spark, d), ingest.open_bm25(spark, grown(spark, d)), 10)
+
+
+@query("st_grown_vocab", S.select([S.TOK, S.POST, S.STATS, S.VOC], f"select term, df, {S.q6('idf')} as idf from voc"))
+def _(spark, d):
+    from docloom.operators.indexing import rounded
+
+    return rounded(ingest.open_bm25(spark, grown(spark, d))["vocab"], "idf")
