@@ -77,6 +77,26 @@ def _joined_text() -> Column:
     return F.array_join(F.transform(rows, lambda r: r["text"]), "\n")
 
 
+def printed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_per_block: int = 4, lines_per_page: int = 40,
+                  char_width: int = 6, line_height: int = 14) -> DataFrame:
+    """Words of plain texts with the boxes of a fixed-pitch print, numbered in
+    each page: what a layout extractor gives for native pages."""
+    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.size(words(x)) > 0)
+    ex = docs.select(F.col(id_col).alias("document_id"), F.posexplode(lines).alias("line", "_l")).withColumn("_w", words("_l"))
+    page = F.floor(F.col("line") / lines_per_page).cast("int")
+    n = F.size("_w")
+    before = F.sum(n).over(Window.partitionBy("document_id", "page_number").orderBy("line")) - n
+    ex = ex.withColumn("page_number", page).withColumn("_before", before)
+    zero = F.expr("named_struct('x', 0, 'out', cast(array() as array<struct<x:int,t:string>>))")
+    step = lambda a, w: F.struct((a["x"] + F.length(w) + 1).alias("x"), F.array_append(a["out"], F.struct(a["x"].alias("x"), w.alias("t"))).alias("out"))
+    ex = ex.select("document_id", "page_number", "line", "_before", F.posexplode(F.aggregate("_w", zero, step, lambda a: a["out"])).alias("k", "w"))
+    y0 = (F.col("line") % lines_per_page * line_height).cast("double")
+    return ex.select(
+        "document_id", "page_number", (F.col("_before") + F.col("k")).cast("int").alias("word_no"), F.floor(F.col("line") / lines_per_block).cast("int").alias("block_no"),
+        F.col("line").alias("line_no"), F.col("w.t").alias("text"), (F.col("w.x") * char_width).cast("double").alias("x0"), y0.alias("y0"),
+        ((F.col("w.x") + F.length("w.t")) * char_width).cast("double").alias("x1"), (y0 + line_height - 2).alias("y1"))
+
+
 def block_elements(lines: DataFrame) -> DataFrame:
     g = lines.groupBy("document_id", "block_number").agg(
         F.min("page_number").alias("page_number"),
