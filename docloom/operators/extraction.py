@@ -46,8 +46,13 @@ ENDS = ",;. "  # marks that end a phrase
 NKDA = r"\b(?:nkda|nka|no known drug allergies?|no known allergies?)\b"
 
 
+def lab_names_pattern(lab_names: list[str] | None = None) -> str:
+    """Alternatives of the names, longest first; names hold letters, digits, spaces and hyphens."""
+    return ALT(sorted(lab_names or V.LAB_NAMES, key=lambda x: (-len(x), x)))
+
+
 def rules(lab_names: list[str] | None = None) -> list[Rule]:
-    labs = ALT(sorted(lab_names or V.LAB_NAMES, key=lambda x: (-len(x), x)))
+    labs = lab_names_pattern(lab_names)
     med, dx = ("medications", "plan", "discharge_instructions"), ("assessment", "chief_complaint", "hpi", "impression", "postoperative_diagnosis", "findings")
     out = [Rule("date", "date_regex", p, 0.80) for p in (
         V.NUM_DATE, rf"(?i)\b{V.MONTH}\s+\d{{1,2}},?\s+\d{{4}}\b", rf"(?i)\b\d{{1,2}}\s+{V.MONTH},?\s+\d{{4}}\b")]
@@ -57,10 +62,11 @@ def rules(lab_names: list[str] | None = None) -> list[Rule]:
         r"(?i)\b(?:DOB|Date of Birth)\s*[:\-]?\s*(\d{1,2}[\/\-]\d{1,2}[\/\-]\d{2,4})\b",
         r"(?i)\b(?:Acc(?:ession)?\s*No\.?|Acc\s*#)\s*[:#\-]?\s*([A-Za-z0-9\-\/]{4,20})\b")]
     out += [Rule("vital", f"vital_{k}", "(?i)" + p, 0.85) for k, p in V.VITALS.items()]
+    # a name of two endings counts for both
+    out += [Rule("medication_class", "drug_suffix", rf"[a-z]{{4,}}{end}\b", 0.65, boost=med, cap=0.80, lower=True) for end in V.DRUG_SUFFIXES]
     out += [
         Rule("lab_result", "lab_regex", rf"\b({labs})\b\s*[:\-=]?\s*(high|low|h|l)?\s*(\d+(?:\.\d+)?)\s*([a-zA-Z/%]+(?:/[a-zA-Z0-9]+)*)?", 0.82, lower=True),
         Rule("lab_reference_range", "lab_refrange_regex", rf"\b({labs})\b.*?(\d+(?:\.\d+)?)\s*[-–—]\s*(\d+(?:\.\d+)?)", 0.72, lower=True),
-        Rule("medication_class", "drug_suffix", rf"[a-z]{{4,}}(?:{ALT(V.DRUG_SUFFIXES)})\b", 0.65, boost=med, cap=0.80, lower=True),
         Rule("medication_candidate", "medication_dose_regex", r"\b([A-Z][A-Za-z0-9\-]{2,}(?:\s+[A-Z][A-Za-z0-9\-]{2,}){0,2})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|iu|units?)\b", 0.60, boost=med, cap=0.78),
         Rule("diagnosis_code", "icd10_regex", r"\b[A-TV-Z][0-9][0-9A-Z](?:\.[0-9A-Z]{1,4})?\b", 0.75),
         Rule("past_diagnosis", "history_of_pattern", r"\b(?:history of|hx of|h/o|known case of|known h/o|dx of|diagnosis of|diagnosed with)\s+([a-z][a-z \-]{3,50}?)(?:[,;.]|$)", 0.68, 1, dx, 0.82, True,
@@ -132,29 +138,126 @@ def pattern_entities(lines: DataFrame, which: list[Rule] | None = None) -> DataF
     return ex.filter(ages)
 
 
+LINE = ["document_id", "element_id", "page_number", "section_name", "text"]
+TERM_WORD = "[0-9a-z]+"
+
+
+def _term_words(text: str) -> Column:
+    return F.regexp_extract_all(tx.lower_clean(text), F.lit(TERM_WORD), F.lit(0))
+
+
+def term_places(lines: DataFrame, terms: DataFrame, overlaps: bool = True) -> DataFrame:
+    """Every place of a dictionary term in the lines: ``LINE`` columns, ``at`` (word
+    number), ``n`` (words), ``term`` and the other columns of ``terms``.
+
+    Terms may have any number of words: the dictionary is a two-level trie keyed by
+    first word, and each word of a line meets the terms that begin with it, which
+    are then compared with the words that follow, as many as the longest term has.
+    Nothing depends on a bound given by hand, and a line is never expanded into all
+    its n-grams.  Without ``overlaps`` the leftmost of the places of a line are
+    kept, the longest of those that begin together (ties alphabetical)."""
+    words = F.regexp_extract_all(tx.lower_clean("term"), F.lit(TERM_WORD), F.lit(0))
+    more = [c for c in terms.columns if c != "term"]
+    t = terms.dropDuplicates(["term"]).withColumn("_w", words).filter(F.size("_w") > 0)
+    heads = t.groupBy(F.col("_w")[0].alias("_first")).agg(F.collect_list(F.struct(F.size("_w").alias("n"), "_w", "term", *more)).alias("_terms"))
+    longest = F.coalesce(t.agg(F.max(F.size("_w")).alias("m")).scalar(), F.lit(1))
+    base = lines.select(*LINE, _term_words("text").alias("_t")).withColumn("_max", longest)
+    ahead = F.transform(F.col("_t"), lambda w, i: F.slice("_t", i + 1, F.col("_max")))
+    at = base.select(*LINE, F.posexplode(ahead).alias("at", "_a"))
+    hit = at.withColumn("_first", F.col("_a")[0]).join(heads, "_first")
+    hit = hit.select(*LINE, "at", F.inline(F.filter("_terms", lambda x: F.slice("_a", F.lit(1), x["n"]) == x["_w"]))).drop("_w")
+    if overlaps:
+        return hit
+    rows = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("_n"), "term", *more)))
+    g = hit.groupBy(*LINE).agg(rows.alias("_r"))
+    none = F.filter("_r", lambda r: F.lit(False))
+    last = lambda acc: F.coalesce(F.element_at(acc, -1)["at"] - F.element_at(acc, -1)["_n"], F.lit(0))
+    kept = F.aggregate("_r", none, lambda acc, r: F.when((F.size(acc) == 0) | (r["at"] >= last(acc)), F.array_append(acc, r)).otherwise(acc))
+    return g.select(*LINE, F.inline(kept)).select(*LINE, "at", (-F.col("_n")).alias("n"), "term", *more)
+
+
 def dictionary_entities(lines: DataFrame, terms: DataFrame, entity_type: str, confidence: float,
-                        boost: tuple[str, ...] = (), cap: float = 1.0, source: str = "dictionary", max_words: int = 4) -> DataFrame:
-    """The longest dictionary term of each line (ties alphabetical).  Word
-    n-grams of the line meet the ``term`` relation in an equi-join, whatever
-    the size of the dictionary."""
-    toks = F.regexp_extract_all(tx.lower_clean("text"), F.lit("[0-9a-z]+"), F.lit(0))
-    base = lines.select("document_id", "element_id", "page_number", "section_name", "text", toks.alias("_t"))
-    grams = F.array_distinct(F.concat(*[tx.word_ngrams(F.col("_t"), n) for n in range(1, max_words + 1)]))
-    ex = base.select("document_id", "element_id", "page_number", "section_name", "text", F.explode(grams).alias("term"))
-    hit = ex.join(terms.select("term").distinct(), "term")
-    best = hit.groupBy("document_id", "element_id", "page_number", "section_name", "text").agg(
-        F.min(F.struct((-F.length("term")).alias("n"), "term"))["term"].alias("entity_text"))
+                        boost: tuple[str, ...] = (), cap: float = 1.0, source: str = "dictionary") -> DataFrame:
+    """The longest dictionary term of each line (ties alphabetical)."""
+    best = term_places(lines, terms.select("term")).groupBy(*LINE).agg(F.min(F.struct((-F.length("term")).alias("n"), "term"))["term"].alias("entity_text"))
     r = Rule(entity_type, source, "", confidence, 0, boost, cap)
-    return best.select("document_id", "element_id", "page_number", "section_name", "text", F.lit(entity_type).alias("entity_type"),
-                       "entity_text", F.col("entity_text").alias("normalized_value"), _confidence(r).alias("confidence"),
+    return best.select(*LINE, F.lit(entity_type).alias("entity_type"), "entity_text", F.col("entity_text").alias("normalized_value"), _confidence(r).alias("confidence"),
                        F.lit(source).alias("source"), F.lit(1000).alias("rule_no"))
 
 
+# Dose after a name, words that mark a medication line.
+DOSE = r"\b\s+(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|iu|units?)\b"
+ROUTE = ("tablet", "tab", "capsule", "cap", "injection", "inj", "syrup", "mg", "mcg", "daily", "bid", "tid", "qid", "prn", "po", "iv", "im", "once daily", "twice daily", "sc",
+         "subcutaneous", "inhale", "apply", "patch", "drops", "sublingual", "transdermal", "topical")
+TAKE = r"\b(take|tab|tablet|cap|capsule|inj|injection|apply|instil|inhale)\b"
+
+
+def _groups(body: Column, pattern: str, *names: str) -> Column:
+    """All matches with their groups, as structs.  The text is searched once, where
+    it has a digit at all; groups are read from the short matches."""
+    found = F.when(body.rlike("[0-9]"), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
+    return F.transform(found, lambda m: F.struct(m.alias(names[0]), *[F.regexp_extract(m, pattern, i).alias(n) for i, n in enumerate(names[1:], 1)]))
+
+
+def lab_details(lines: DataFrame, lab_names: list[str] | None = None) -> DataFrame:
+    """Laboratory values with ``lab_name, flag, value, unit, is_abnormal``, null where
+    a part is not written, and reference ranges with ``low, high``."""
+    labs, clean = lab_names_pattern(lab_names), tx.lower_clean("text")
+    value = rf"\b({labs})\b\s*[:\-=]?\s*(high|low|h|l)?\s*(\d+(?:\.\d+)?)\s*([a-zA-Z/%µμ]+(?:/[a-zA-Z0-9]+)*)?"
+    span = rf"\b({labs})\b.*?(\d+(?:\.\d+)?)\s*[-–—]\s*(\d+(?:\.\d+)?)"
+    base = lines.select("document_id", "element_id", clean.alias("clean"))
+    put = lambda c: F.when(F.col(c) != "", F.col(c))
+    v = base.select("document_id", "element_id", F.inline(_groups(F.col("clean"), value, "entity_text", "lab_name", "flag", "value", "unit")))
+    r = base.select("document_id", "element_id", F.inline(_groups(F.col("clean"), span, "entity_text", "lab_name", "low", "high")))
+    none = F.lit(None).cast("string")
+    return v.select("document_id", "element_id", F.lit("lab_result").alias("entity_type"), "entity_text", "lab_name", put("flag").alias("flag"), "value", put("unit").alias("unit"),
+                    (F.col("flag") != "").alias("is_abnormal"), none.alias("low"), none.alias("high")).unionByName(
+        r.select("document_id", "element_id", F.lit("lab_reference_range").alias("entity_type"), "entity_text", "lab_name", none.alias("flag"), none.alias("value"), none.alias("unit"),
+                 F.lit(None).cast("boolean").alias("is_abnormal"), "low", "high"))
+
+
+def medication_details(lines: DataFrame, medications: DataFrame) -> DataFrame:
+    """All medication rows with their parts: dictionary drugs (``dose, unit`` where
+    they follow the name), class endings (``drug_class``), unlisted names with a
+    dose, and lines that read like a prescription."""
+    known = dictionary_entities(lines, medications, "medication", 0.78, ("medications", "plan", "discharge_instructions"), 0.92, "drug_dict")
+    after = F.concat(F.lit("\\b\\Q"), "entity_text", F.lit("\\E" + DOSE))
+    none = F.lit(None).cast("string")
+    grp = lambda i: F.nullif(F.call_function("regexp_extract", tx.lower_clean("text"), after, F.lit(i)), F.lit(""))
+    cols = ["document_id", "element_id", "entity_type", "entity_text", "dose", "unit", "drug_class", "source"]
+    out = known.withColumn("dose", grp(1)).withColumn("unit", grp(2)).withColumn("drug_class", none).select(*cols)
+    clean = lines.withColumn("clean", tx.lower_clean("text"))
+
+    def of_class(end: str, name: str) -> Column:
+        return F.transform(F.regexp_extract_all("clean", F.lit(rf"[a-z]{{4,}}{end}\b"), F.lit(0)), lambda m: F.struct(m.alias("entity_text"), F.lit(name).alias("drug_class")))
+
+    ends = F.concat(*[of_class(e, c) for e, c in V.DRUG_SUFFIXES.items()])
+    by_class = clean.select("document_id", "element_id", F.inline(ends))
+    out = out.unionByName(by_class.withColumn("entity_type", F.lit("medication_class")).withColumn("dose", none).withColumn("unit", none).withColumn("source", F.lit("drug_suffix")).select(*cols))
+    name = r"\b([A-Z][A-Za-z0-9\-]{2,}(?:\s+[A-Z][A-Za-z0-9\-]{2,}){0,2})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|iu|units?)\b"
+    named = lines.select("document_id", "element_id", F.inline(_groups(F.col("text"), name, "entity_text", "name", "dose", "unit")))
+    out = out.unionByName(named.withColumn("entity_type", F.lit("medication_candidate")).withColumn("drug_class", none).withColumn("source", F.lit("medication_dose_regex")).select(*cols))
+    cue = F.coalesce(F.col("section_name").isin("medications", "plan"), F.lit(False))
+    for w in ROUTE:
+        cue = cue | F.contains("clean", F.lit(w))
+    line = clean.filter(cue & F.col("clean").rlike(TAKE)).select("document_id", "element_id", F.lit("medication_line_candidate").alias("entity_type"), F.substring("text", 1, 220).alias("entity_text"),
+                                                                 none.alias("dose"), none.alias("unit"), none.alias("drug_class"), F.lit("medication_line_rule").alias("source"))
+    return out.unionByName(line)
+
+
+LOOK_BACK = 120  # characters, where no sentence holds the entity
+
+
 def is_negated(sentence_text: Column, entity: Column) -> Column:
-    """Negation cue in the sentence holding the entity, else anywhere in the line."""
+    """Negation cue in the first sentence that holds the entity; where none does,
+    in the entity and the ``LOOK_BACK`` characters before it; else anywhere."""
     cues = "(?i)" + ALT(f"(?:{p})" for p in V.NEGATION)
-    hold = F.filter(tx.sentences(sentence_text), lambda s: F.contains(F.lower(s), F.lower(entity)))
-    return F.coalesce(F.get(hold, F.lit(0)), sentence_text).rlike(cues)
+    low, ent = tx.lower_clean(sentence_text), tx.lower_clean(entity)
+    hold = F.get(F.filter(tx.sentences(sentence_text), lambda s: F.contains(tx.lower_clean(s), ent)), F.lit(0))
+    at = F.call_function("locate", ent, low)
+    before = F.greatest(F.lit(1), at - LOOK_BACK)
+    near = F.when(at > 0, F.substring(low, before, at - before + F.length(ent)))
+    return F.coalesce(hold, near, sentence_text).rlike(cues)
 
 
 def extract_entities(lines: DataFrame, medications: DataFrame, conditions: DataFrame, min_confidence: float = 0.55) -> DataFrame:

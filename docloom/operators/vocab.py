@@ -165,14 +165,53 @@ DRUG_SUFFIXES = {
     "dronate": "bisphosphonate", "vir": "antiviral", "fungin": "echinocandin antifungal",
 }
 
-# Short default dictionaries; pass a term relation for full coverage.
-LAB_NAMES = ["hemoglobin", "hematocrit", "wbc", "platelets", "sodium", "potassium", "chloride", "creatinine", "bun",
-             "glucose", "hba1c", "cholesterol", "ldl", "hdl", "triglycerides", "troponin", "bnp", "inr", "tsh", "crp"]
+# Laboratory names.
+LAB_NAMES = [
+    "hb", "hgb", "hemoglobin", "hct", "hematocrit", "wbc", "rbc", "platelet", "platelets", "neutrophils", "neutrophil", "lymphocytes", "lymphocyte",
+    "monocytes", "monocyte", "eosinophils", "eosinophil", "basophils", "basophil", "bands", "reticulocytes", "mcv", "mch", "mchc", "rdw", "sodium",
+    "na", "potassium", "k", "chloride", "cl", "bicarbonate", "co2", "hco3", "bun", "blood urea nitrogen", "creatinine", "calcium", "magnesium",
+    "phosphorus", "glucose", "albumin", "protein", "total protein", "alt", "sgpt", "ast", "sgot", "alk phos", "alkaline phosphatase", "ggt", "ldh",
+    "bilirubin", "total bilirubin", "direct bilirubin", "indirect bilirubin", "cholesterol", "total cholesterol", "triglycerides", "hdl", "ldl",
+    "vldl", "non-hdl", "lipoprotein", "tsh", "t3", "t4", "free t3", "free t4", "ft3", "ft4", "pt", "ptt", "aptt", "inr", "fibrinogen", "d-dimer",
+    "anti-xa", "troponin", "troponin i", "troponin t", "bnp", "nt-probnp", "ck", "creatine kinase", "ckmb", "ck-mb", "myoglobin", "lactic acid",
+    "lactate", "crp", "c-reactive protein", "esr", "procalcitonin", "ferritin", "il-6", "gfr", "egfr", "cystatin c", "uric acid", "24h creatinine",
+    "hba1c", "a1c", "insulin", "c-peptide", "cortisol", "acth", "prolactin", "fsh", "lh", "estradiol", "testosterone", "progesterone", "hcg",
+    "beta-hcg", "igf-1", "dhea", "vitamin d", "25-oh vitamin d", "vitamin b12", "b12", "folate", "folic acid", "iron", "serum iron", "tibc",
+    "transferrin", "zinc", "copper", "psa", "cea", "ca-125", "ca 125", "ca-19-9", "ca 19-9", "afp", "alpha fetoprotein", "ca-15-3", "her2", "ana",
+    "anca", "anti-dsdna", "rf", "rheumatoid factor", "anti-ccp", "c3", "c4", "complement", "antiphospholipid", "anti-ro", "anti-la", "hiv", "hbsag",
+    "hbs ag", "hcv", "hcv ab", "monospot", "cmv", "ebv", "ph", "pco2", "po2", "base excess", "pao2", "fio2", "ua", "urinalysis", "urine protein",
+    "urine creatinine", "microalbumin", "urine culture", "urine glucose", "urine ketones", "blood culture", "sputum culture", "wound culture", "csf",
+    "ammonia", "lead", "ethanol", "drug screen", "urine drug screen",
+]
+
+# Condition terms.
+CONDITIONS = [
+    "hypertension", "htn", "high blood pressure", "diabetes", "diabetes mellitus", "type 2 diabetes", "type 1 diabetes", "t2dm", "t1dm",
+    "hyperlipidemia", "hypercholesterolemia", "dyslipidemia", "coronary artery disease", "cad", "ischemic heart disease", "ihd",
+    "congestive heart failure", "chf", "heart failure", "hfref", "hfpef", "atrial fibrillation", "afib", "a-fib", "af", "myocardial infarction", "mi",
+    "heart attack", "stemi", "nstemi", "stroke", "cva", "cerebrovascular accident", "tia", "transient ischemic attack", "peripheral vascular disease",
+    "pvd", "peripheral artery disease", "pad", "deep vein thrombosis", "dvt", "pulmonary embolism", "pe", "chronic kidney disease", "ckd",
+    "renal failure", "renal insufficiency", "acute kidney injury", "aki", "urinary tract infection", "uti", "pneumonia", "copd",
+    "chronic obstructive pulmonary disease", "emphysema", "chronic bronchitis", "asthma", "sleep apnea", "obstructive sleep apnea", "osa", "anemia",
+    "iron deficiency anemia", "thrombocytopenia", "hypothyroidism", "hyperthyroidism", "graves disease", "osteoporosis", "osteopenia",
+    "osteoarthritis", "oa", "rheumatoid arthritis", "ra", "gout", "hyperuricemia", "fibromyalgia", "depression", "major depressive disorder", "mdd",
+    "anxiety", "generalized anxiety disorder", "gad", "bipolar disorder", "bipolar", "schizophrenia", "ptsd", "post-traumatic stress disorder",
+    "adhd", "attention deficit", "dementia", "cognitive impairment", "alzheimer", "alzheimer's disease", "parkinson", "parkinson's disease",
+    "epilepsy", "seizure disorder", "migraine", "multiple sclerosis", "ms", "cellulitis", "sepsis", "septicemia", "bacteremia", "cancer", "carcinoma",
+    "malignancy", "tumor", "malignant", "lymphoma", "leukemia", "myeloma", "breast cancer", "lung cancer", "colon cancer", "colorectal cancer",
+    "prostate cancer", "ovarian cancer", "cervical cancer", "hepatocellular carcinoma", "hcc", "gerd", "gastroesophageal reflux", "acid reflux",
+    "peptic ulcer", "gastric ulcer", "duodenal ulcer", "crohn's disease", "crohn disease", "ulcerative colitis", "inflammatory bowel disease",
+    "irritable bowel syndrome", "ibs", "pancreatitis", "hepatitis", "hepatitis b", "hepatitis c", "cirrhosis", "liver failure", "cholelithiasis",
+    "gallstones", "cholecystitis", "appendicitis", "diverticulitis", "diverticulosis", "obesity", "morbid obesity", "overweight", "chronic pain",
+    "neuropathy", "peripheral neuropathy", "diabetic neuropathy", "radiculopathy", "herniated disc", "disc herniation", "disc bulge",
+    "spinal stenosis", "scoliosis", "fracture", "dislocation", "rotator cuff", "rotator cuff tear", "acl tear", "meniscal tear", "cataracts",
+    "glaucoma", "macular degeneration", "retinopathy", "diabetic retinopathy", "hypertriglyceridemia", "metabolic syndrome", "fatty liver", "nafld",
+    "nash", "hiv", "aids", "covid", "covid-19", "influenza", "flu",
+]
+
+# A short default: drug dictionaries are a parameter, a relation of terms.
 MEDICATIONS = ["metformin", "lisinopril", "atorvastatin", "amlodipine", "aspirin", "insulin", "warfarin", "heparin",
                "furosemide", "omeprazole", "amoxicillin", "prednisone", "levothyroxine", "gabapentin", "albuterol"]
-CONDITIONS = ["hypertension", "diabetes", "diabetes mellitus", "type 2 diabetes", "coronary artery disease",
-              "congestive heart failure", "atrial fibrillation", "myocardial infarction", "stroke", "asthma",
-              "chronic obstructive pulmonary disease", "pneumonia", "chronic kidney disease", "anemia", "depression"]
 
 # Words of the line rules and their patterns.
 IMAGING = (r"\b(x[- ]?ray|radiograph|chest x[- ]?ray|cxr|ct(?: scan)?|cat scan|computed tomography|mri|magnetic resonance|"

@@ -119,9 +119,13 @@ def terms(spark, words):
 
 
 def _dict_sql(words, etype, conf, cap, boost):
-    hit = "list_filter([" + ",".join(f"'{w}'" for w in sorted(words, key=lambda x: (-len(x), x))) + "], lambda t: contains(' '||array_to_string(regexp_extract_all(lower(text),'[0-9a-z]+'),' ')||' ', ' '||t||' '))"
-    return f"""select document_id, element_id, '{etype}' as entity_type, t as entity_text, {S.q6(f"least({cap}::double, {conf}::double + case when section_name in ({','.join(repr(b) for b in boost)}) then 0.15::double else 0 end)")} as confidence
- from (select *, {hit}[1] as t from nsec) where t is not null"""
+    """Longest term of a line: its n-grams, of the lengths the terms have, meet the terms."""
+    values = ",".join("('" + w.replace("'", "''") + "')" for w in words)
+    return f"""select document_id, element_id, '{etype}' as entity_type, term as entity_text, {S.q6(f"least({cap}::double, {conf}::double + case when section_name in ({','.join(repr(b) for b in boost)}) then 0.15::double else 0 end)")} as confidence
+ from (select ln.*, tv.term from (select *, unnest(range(1, len(w) + 1)) p from (select document_id, element_id, section_name, regexp_extract_all(lower(text), '[0-9a-z]+') w from nsec)) ln,
+   (select distinct len(regexp_extract_all(term, '[0-9a-z]+')) z from (values {values}) v(term)) sz
+  join (select term, len(regexp_extract_all(term, '[0-9a-z]+')) z, array_to_string(regexp_extract_all(term, '[0-9a-z]+'), ' ') g from (values {values}) v(term)) tv on tv.z = sz.z and tv.g = array_to_string(ln.w[p:p + sz.z - 1], ' ')
+  qualify row_number() over (partition by document_id, element_id order by length(tv.term) desc, tv.term) = 1)"""
 
 
 _MEDB, _DXB = ("medications", "plan", "discharge_instructions"), ("assessment", "chief_complaint", "hpi", "impression", "postoperative_diagnosis", "findings")
@@ -146,14 +150,79 @@ def entities(spark, d):
 _NEGRE = "(?i)" + "|".join(f"(?:{p})" for p in V.NEGATION)
 
 
-@query("e18_negation", S.select([NL, _SEC, "dx as (" + _dict_sql(V.CONDITIONS, "diagnosis_or_problem", 0.70, 0.88, _DXB) + ")",
-    f"""dn as (select dx.document_id, dx.element_id, entity_text, text, list_filter(string_split(regexp_replace(trim(text,' '),'([.!?])[ \\t\\n\\r\\f]+','\\1'||chr(31),'g'),chr(31)), lambda s: contains(lower(s), entity_text)) as h from dx join nl using (document_id, element_id))"""],
-    f"select document_id, element_id, entity_text, regexp_matches(coalesce(h[1], text), $${_NEGRE}$$) as is_negated from dn"))
+_CLEAN = "lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')))"
+_NEG_SQL = S.select([NL, _SEC, "dx as (" + _dict_sql(V.CONDITIONS, "diagnosis_or_problem", 0.70, 0.88, _DXB) + ")",
+    f"""dn as (select dx.document_id, dx.element_id, entity_text, text, {_CLEAN} as low, string_split(regexp_replace(trim(text, ' '), '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(31), 'g'), chr(31)) as ss from dx join nl using (document_id, element_id)),
+ ds as (select document_id, element_id, unnest(ss) s, unnest(range(0, len(ss))) i from dn),
+ dh as (select document_id, element_id, arg_min(s, i) h from ds join dx using (document_id, element_id) where contains(lower(trim(regexp_replace(s, '[ \\t\\n\\r\\f]+', ' ', 'g'))), entity_text) group by all),
+ dw as (select dn.*, h, instr(low, entity_text) p from dn left join dh using (document_id, element_id))"""],
+    f"""select document_id, element_id, entity_text, regexp_matches(coalesce(h, case when p > 0 then substr(low, greatest(1, p - 120), p - greatest(1, p - 120) + length(entity_text)) end, text), $${_NEGRE}$$) as is_negated from dw""")
+
+
+@query("e18_negation", _NEG_SQL)
 def _(spark, d):
     e = xt.dictionary_entities(sectioned(spark, d), terms(spark, V.CONDITIONS), "diagnosis_or_problem", 0.70, _DXB, 0.88)
     return e.select("document_id", "element_id", "entity_text", xt.is_negated(F.col("text"), F.col("entity_text")).alias("is_negated"))
 
 
+# Lines of the text corpus and a dictionary out of the corpus itself: runs of one
+# to seven words that begin a line of an eleventh document.
+def corpus_lines(spark, d):
+    e = inp.corpus(spark, d).elements_of("line")
+    return e.select("document_id", "element_id", "page_number", F.lit(None).cast("string").alias("section_name"), "text")
+
+
+def corpus_terms(spark, d):
+    w = F.regexp_extract_all(tx.lower_clean("text"), F.lit(xt.TERM_WORD), F.lit(0))
+    t = corpus_lines(spark, d).filter("document_id % 11 = 0").select(w.alias("w"), (F.length("text") % 7 + 1).cast("int").alias("n"))
+    return t.filter(F.size("w") >= F.col("n")).select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("term")).distinct()
+
+
+_CORPUS_TERMS = f"""cl as (select doc_id document_id, (line_number * 4 + 2)::bigint element_id, text, regexp_extract_all({_CLEAN}, '[0-9a-z]+') w from (
+  select doc_id, unnest(ls) as text, unnest(range(0, len(ls))) line_number from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') ls from documents))),
+ct as (select distinct array_to_string(w[1:z], ' ') term, z from (select w, length(text) % 7 + 1 z from cl where document_id % 11 = 0) where len(w) >= z),
+cg as (select document_id, element_id, p - 1 "at", z n, array_to_string(w[p:p + z - 1], ' ') term from (select *, unnest(range(1, len(w) - z + 2)) p from cl, (select distinct z from ct) where len(w) >= z)),
+cp as (select cg.document_id, cg.element_id, "at", cg.n, cg.term from cg join ct on ct.term = cg.term and ct.z = cg.n)"""
+
+
+@query("e9_term_places", S.select([_CORPUS_TERMS], 'select document_id, element_id, "at"::int "at", n::int n, term from cp'))
+def _(spark, d):
+    return xt.term_places(corpus_lines(spark, d), corpus_terms(spark, d)).select("document_id", "element_id", "at", "n", "term")
+
+
+@query("e10_longest_terms", S.select([_CORPUS_TERMS], "select document_id, element_id, term from cp qualify row_number() over (partition by document_id, element_id order by length(term) desc, term) = 1"))
+def _(spark, d):
+    return xt.dictionary_entities(corpus_lines(spark, d), corpus_terms(spark, d), "term", 0.5).select("document_id", "element_id", F.col("entity_text").alias("term"))
+
+
+_LAB = "|".join(sorted(V.LAB_NAMES, key=lambda x: (-len(x), x)))
+_LABV = rf"\b({_LAB})\b\s*[:\-=]?\s*(high|low|h|l)?\s*(\d+(?:\.\d+)?)\s*([a-zA-Z/%µμ]+(?:/[a-zA-Z0-9]+)*)?"
+_LABR = rf"\b({_LAB})\b.*?(\d+(?:\.\d+)?)\s*[-–—]\s*(\d+(?:\.\d+)?)"
+_GRP = lambda p, i: f"regexp_extract(m, $re${p}$re$, {i})"
+
+
+@query("e8_lab_details", S.select([NL], f"""select document_id, element_id, 'lab_result' as entity_type, m as entity_text, {_GRP(_LABV, 1)} as lab_name, nullif({_GRP(_LABV, 2)}, '') as flag, {_GRP(_LABV, 3)} as "value",
+  nullif({_GRP(_LABV, 4)}, '') as unit, {_GRP(_LABV, 2)} <> '' as is_abnormal, null::varchar as low, null::varchar as high from (select *, unnest(regexp_extract_all({_CLEAN}, $re${_LABV}$re$)) as m from nl)
+ union all select document_id, element_id, 'lab_reference_range', m, {_GRP(_LABR, 1)}, null, null, null, null, {_GRP(_LABR, 2)}, {_GRP(_LABR, 3)} from (select *, unnest(regexp_extract_all({_CLEAN}, $re${_LABR}$re$)) as m from nl)"""))
+def _(spark, d):
+    return xt.lab_details(note_lines(spark, d))
+
+
+_NAMED = r"\b([A-Z][A-Za-z0-9\-]{2,}(?:\s+[A-Z][A-Za-z0-9\-]{2,}){0,2})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|iu|units?)\b"
+_ENDS = " union all ".join(f"select document_id, element_id, 'medication_class' as entity_type, unnest(regexp_extract_all(low, $re$[a-z]{{4,}}{e}\\b$re$)) as entity_text, null::varchar as dose, null::varchar as unit, '{c}' as drug_class, 'drug_suffix' as source from nc"
+                           for e, c in V.DRUG_SUFFIXES.items())
+
+
+@query("e9_med_details", S.select([NL, _SEC, "md as (" + _dict_sql(V.MEDICATIONS, "medication", 0.78, 0.92, _MEDB) + ")", f"nc as (select *, {_CLEAN} as low from nsec)"],
+    f"""select document_id, element_id, 'medication' as entity_type, entity_text, nullif(regexp_extract(low, '\\b' || entity_text || $re${xt.DOSE}$re$, 1), '') as dose, nullif(regexp_extract(low, '\\b' || entity_text || $re${xt.DOSE}$re$, 2), '') as unit,
+  null::varchar as drug_class, 'drug_dict' as source from md join nc using (document_id, element_id) union all {_ENDS}
+ union all select document_id, element_id, 'medication_candidate', m, regexp_extract(m, $re${_NAMED}$re$, 2), regexp_extract(m, $re${_NAMED}$re$, 3), null, 'medication_dose_regex' from (select *, unnest(regexp_extract_all(text, $re${_NAMED}$re$)) as m from nc)
+ union all select document_id, element_id, 'medication_line_candidate', substr(text, 1, 220), null, null, null, 'medication_line_rule' from nc
+  where (coalesce(section_name in ('medications', 'plan'), false) or {' or '.join(f"contains(low, '{w}')" for w in xt.ROUTE)}) and regexp_matches(low, $re${xt.TAKE}$re$)"""))
+def _(spark, d):
+    return xt.medication_details(sectioned(spark, d), terms(spark, V.MEDICATIONS))
+
+
 @query("e4_e19_entities")
 def _(spark, d):
     return entities(spark, d).select("document_id", "element_id", "page_number", "section_name", "entity_type", "entity_text", "normalized_value",
