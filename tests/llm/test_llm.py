@@ -362,4 +362,4 @@ def test_pipeline_stages(spark):
 
 
 def test_every_query_is_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
