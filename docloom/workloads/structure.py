@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions.scores import quantize
+from docloom.functions.udtfs import register_table_functions
 from docloom.operators import chunking as ch
 from docloom.operators import indexing as ix
 from docloom.operators import retrieval as rt
@@ -13,7 +14,7 @@ from docloom.operators import semantic as sem
 from docloom.workloads import inputs as inp
 from docloom.workloads import sqltext as S
 from docloom.workloads.lexical import bm25_base, bm25_ix, rrf_sql
-from docloom.workloads.registry import query, register
+from docloom.workloads.registry import ORACLES, query, register
 
 SPAN = ["document_id", "strategy_name", "chunk_id", "chunk_kind", "start_index", "end_index", "token_length"]
 W = S.words("text")
@@ -355,3 +356,12 @@ def _(spark, d):
 
 
 _ = (tx, quantize, bm25_ix)
+
+
+@query("udtf_fixed", ORACLES["c1_fixed"])
+def _(spark, d):
+    """The fixed chunker as a table function in SQL."""
+    register_table_functions(spark, "docloom_")
+    docs = inp.documents(spark, d)
+    return spark.sql("""select doc_id as document_id, 'fixed_512' as strategy_name, c.chunk_id, 'fixed_token' as chunk_kind, c.start_index, c.end_index, c.end_index - c.start_index as token_length
+ from {docs}, lateral docloom_fixed_tokens(text, 512, 0) c""", docs=docs)
