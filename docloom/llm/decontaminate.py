@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_batches, stored
+from docloom.llm.common import aside, small_batches, stored
 
 WINDOW = 10
 BLOCK_WINDOWS = 500_000
@@ -148,9 +148,11 @@ def cut_spans(text: str, hits: list) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **kw) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) without
     the hit passages; rows without a hit stay untouched."""
-    marked = mark(docs, benchmark, **kw)
+    text_col = kw.pop("text_col", "text")
+    named, back = aside(docs, text=text_col)
+    marked = mark(named, benchmark, **kw)
     if remove == "documents":
-        return marked.filter(F.size("_hits") == 0).select(docs.columns)
+        return back(marked.filter(F.size("_hits") == 0))
     if remove != "spans":
         raise ValueError(f"remove is documents or spans, not {remove}")
 
@@ -158,8 +160,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     def rest(text: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or not len(h) else cut_spans(t, h) for t, h in zip(text, hits)], dtype=object)
 
-    out = marked.withColumn("text", rest("text", "_hits")).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = back(marked.withColumn("text", rest("text", "_hits")))
+    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, held_out, small_batches, with_small
+from docloom.llm.common import aside, cut, held_out, small_batches, with_small
 
 DIM = 1 << 12
 PER_LANG = 600
@@ -184,6 +184,8 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
     """Stage: rows of no language (``und``, or beaten in a duel: a score under
-    ``min_score``) go; ``lang`` becomes the prediction."""
-    p = predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return p.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    ``min_score``) go; ``lang`` becomes the prediction.
+    All other columns stay, whatever their names."""
+    named, back = aside(docs, "text")
+    p = predict(named, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return back(p, lang=F.col("lang_pred")).select(docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from docloom.llm.common import cut, small_batches, with_small
+from docloom.llm.common import aside, cut, small_batches, with_small
 from docloom.llm.components import components
 
 PERMUTATIONS = 100
@@ -214,10 +214,11 @@ def deduplicate(docs: DataFrame, one_row: bool = False, **kw) -> DataFrame:
     rows = rows.join(named, "set_key").select("name", "least")
     stays = F.col("name.key") == F.col("least.key") if one_row else F.col("name.no_id") | F.coalesce(F.col("name.id") == F.col("least.id"), F.lit(False))
     rows = cut(rows.groupBy(F.col("name.key").alias("_key"), stays.alias("stays")).agg(F.count("*").alias("k")).filter("not stays or k > 1"))
-    keyed = docs.withColumn("_key", key)
+    named, back = aside(docs, "doc_id", "text")
+    keyed = named.withColumn("_key", key)
     if not one_row:
-        return keyed.join(rows.filter("not stays"), "_key", "left_anti").select(docs.columns)
+        return back(keyed.join(rows.filter("not stays"), "_key", "left_anti"))
     # rows repeated under the id and text that stay: the first stored one
     again = with_small(keyed.withColumn("_at", F.monotonically_increasing_id()), rows.filter("stays").select("_key"), ["_key"], "left_semi")
-    again = again.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), "_at").alias("_row")).select("_row.*")
-    return keyed.join(rows, "_key", "left_anti").select(docs.columns).unionByName(again)
+    again = again.groupBy("_key").agg(F.min_by(F.struct(*named.columns), "_at").alias("_row")).select("_row.*")
+    return back(keyed.join(rows, "_key", "left_anti").select(named.columns).unionByName(again))

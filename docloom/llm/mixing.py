@@ -113,7 +113,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     all tokens.  A document is taken where its place is at or before its leaf's
     cutoff, so texts are never shuffled for the choice."""
     names = list(levels)
-    new = docs.select(*[F.col(c) for c in (keep or [id_col]) if c not in (*names, "n_tokens", "epoch")],
+    kept = {f"__kept_{i}": c for i, c in enumerate(keep or []) if c not in (*names, "n_tokens", "epoch")}
+    new = docs.select(*[F.col(c).alias(n) for n, c in kept.items()],
                       *[v.cast("string").alias(n) for n, v in levels.items()], F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), n_tokens(F.col(text_col)).alias("n_tokens"))
     new = new.filter("n_tokens > 0").withColumn("leaf", leaf_key(names))
     rows = cut(new.select(*names, "leaf", "_id", F.md5("_text").alias("_text"), "n_tokens"))
@@ -127,4 +128,5 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     none = F.expr("cast(array() as array<int>)")
     whole = F.when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1)).otherwise(none)
     part = F.when(place(seed, F.col("full"), F.col("_id"), F.col("_text")) <= F.col("cutoff"), F.array("full")).otherwise(none)
-    return got.withColumn("epoch", F.explode(F.concat(whole, part))).drop("leaf", "_id", "_text", "full", "cutoff")
+    return got.withColumn("epoch", F.explode(F.concat(whole, part))).select(
+        *[F.col(n).alias(c) for n, c in kept.items()], *([F.col(id_col)] if keep is None and id_col not in names else []), *names, "n_tokens", "epoch")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, held_out, small_batches
+from docloom.llm.common import aside, cut, held_out, small_batches
 
 THRESHOLD = 0.3
 NAMES = ("log_bytes", "log_words", "word_bytes", "upper", "capital_words", "digits", "symbols", "stops", "bars", "types", "adjacent", "lines", "line_repeats", "non_ascii")
@@ -126,9 +126,10 @@ def score(rows: DataFrame, model: Gaussians) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (without text) with ``held_out``, ``score`` and ``predicted``;
-    labels of held-out rows are never read."""
-    rows = cut(with_statistics(docs.drop("x", "held_out", "score", "predicted")))
+    labels of held-out rows are never read.  Columns of these names are replaced, all
+    others stay."""
+    named, back = aside(docs, "doc_id", "text")
+    rows = cut(with_statistics(named))
     known = labels.filter(~held_out("doc_id")).select("doc_id", "quality")
     model = fit(rows.select("doc_id", "x").join(known, "doc_id"))
-    out = score(rows, model).withColumn("held_out", held_out("doc_id"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("x")
+    return back(score(rows, model), ("text",), held_out=held_out("doc_id"), score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, small_batches, stored
+from docloom.llm.common import aside, cut, small_batches, stored
 
 LENGTH = 400
 GRAM = 128
@@ -396,7 +396,8 @@ def remove(docs: DataFrame, keep: str = "none", **kw) -> DataFrame:
             return b"".join([*out, b[at:]]).decode("utf-8", "ignore")
         return pd.Series([one(t, c) for t, c in zip(text, cuts)], dtype=object)
 
-    return ranged(docs, **kw).withColumn("text", rest("text", "_cut")).select(docs.columns)
+    named, back = aside(docs, "text", **({"doc_id": kw.pop("id_col", "doc_id")} if keep == "first" else {}))
+    return back(ranged(named, **kw).withColumn("text", rest("text", "_cut")))
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:

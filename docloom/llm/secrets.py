@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import aside, cut
 
 # The base kinds, in the order in which they are listed.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -129,14 +129,16 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
 def redact(docs: DataFrame, mark: str = "[secret]", owner: Column | None = None, repository: Column | None = None,
            example_owners: int = EXAMPLE_OWNERS, judge: Callable[[Column, Column], Column] = no_placeholder) -> DataFrame:
     """``docs`` with every live value replaced by ``mark``; copied examples and
-    clean rows stay as they are.  Rows without a candidate never leave their
+    clean rows stay as they are, and so do all other columns, whatever their
+    names; ``n_chars``, where there is one, follows the text.  Rows without a candidate never leave their
     task; only rows with one are joined."""
     owner = F.col("source") if owner is None else owner
     repository = F.col("doc_id") if repository is None else repository
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    named, back = aside(docs, "text", more={"__owner": name(owner), "__repository": name(repository)})
     some = F.coalesce(F.col("text"), F.lit("")).rlike(f"{ASSIGN}|(?-i:{ACCESS}|{HEX}|{OPAQUE})")
-    rows = docs.filter(some).withColumn("_spans", found_spans(F.col("text"))).withColumn("_row", F.struct(F.sha2("text", 256), name(owner), name(repository)))
-    each = rows.select("_row", name(owner).alias("owner"), name(repository).alias("repository"), F.explode("_spans").alias("s"))
+    rows = named.filter(some).withColumn("_spans", found_spans(F.col("text"))).withColumn("_row", F.struct(F.sha2("text", 256), "__owner", "__repository"))
+    each = rows.select("_row", F.col("__owner").alias("owner"), F.col("__repository").alias("repository"), F.explode("_spans").alias("s"))
     # written once: ownership and masking both read the spans
     each = cut(each.withColumn("value_hash", F.sha2(F.col("s.value"), 256)).withColumn("random", judge(F.col("s.value"), F.col("s.kind"))))
     owned = cut(ownership(each, example_owners))
@@ -148,8 +150,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", owner: Column | None = None,
             F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(F.expr("cast(array() as array<string>)"))).alias("out"))),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(pieces)
-    hit = rows.drop("_spans").join(live, "_row", "left").withColumn("text", text).select(docs.columns)
-    out = docs.filter(~some).unionByName(hit)
+    hit = rows.drop("_spans").join(live, "_row", "left").withColumn("text", text).select(named.columns)
+    out = back(named.filter(~some).unionByName(hit))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

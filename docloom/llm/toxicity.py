@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, held_out, small_batches, stored, with_small
+from docloom.llm.common import aside, cut, held_out, small_batches, stored, with_small
 
 PASSAGE = 48
 DISCOUNT = 0.75
@@ -205,8 +205,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` (without text) with ``held_out``, ``score``, ``predicted`` and
-    the measures ``top`` and ``whole``; held-out labels are never read."""
-    docs = docs.drop("held_out", "score", "predicted", "top", "whole")
+    the measures ``top`` and ``whole``; held-out labels are never read.
+    Columns of these names are replaced, all others stay."""
+    docs, back = aside(docs, "doc_id", "text")
     made = learn(docs, labels.filter(~held_out("doc_id")))
     if made is None:
         out = docs.drop("text").withColumns({"top": F.lit(0.0), "whole": F.lit(0.0), "score": F.lit(0.0)})
@@ -214,4 +215,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
         diff, w = made
         z = F.col("top") * float(w[0]) + F.col("whole") * float(w[1]) + float(w[2])
         out = measured(docs, diff).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0)))))
-    return out.withColumn("held_out", held_out("doc_id")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return back(out, ("text",), held_out=held_out("doc_id"), score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"), top=F.col("top"), whole=F.col("whole"))

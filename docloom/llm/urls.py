@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import aside, cut
 
 FOREVER = "9999-12-31"
 
@@ -63,15 +63,15 @@ def by_period(spans: DataFrame, last: Column) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetched") -> DataFrame:
     """``captures`` with ``blocked``, ``n_entries`` (active entries that match),
-    ``by_key`` (the least of their keys) and ``listed_since``."""
-    c = cut(captures.withColumn("_row", F.monotonically_increasing_id()))
-    last = c.agg(F.max(day_col).alias("_last"))
+    ``by_key`` (the least of their keys) and ``listed_since``; columns of these names are
+    replaced, all others stay."""
+    named, back = aside(captures, _url=url_col, _day=day_col)
+    c = cut(named.withColumn("_row", F.monotonically_increasing_id()))
+    last = c.agg(F.max("_day").alias("_last"))
     listed = intervals(entries).crossJoin(F.broadcast(last))  # one row
     listed = cut(by_period(listed, F.col("_last")).select("key", "period", "valid_from", "valid_to"))
-    asked = c.select("_row", F.col(day_col).alias("_day"), F.trunc(day_col, "month").alias("period"), F.explode(keys(F.col(url_col))).alias("key"))
+    asked = c.select("_row", "_day", F.trunc("_day", "month").alias("period"), F.explode(keys(F.col("_url"))).alias("key"))
     hit = asked.join(listed, ["key", "period"]).filter("_day >= valid_from and _day < valid_to")
     hit = hit.groupBy("_row").agg(F.count("*").alias("n_entries"), F.min(F.struct("key", "valid_from")).alias("m"))
     out = c.join(hit, "_row", "left")
-    own = [x for x in captures.columns if x not in ("blocked", "n_entries", "by_key", "listed_since")]
-    return out.select(*own, F.col("m").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"),
-                      F.col("m.key").alias("by_key"), F.col("m.valid_from").alias("listed_since"))
+    return back(out, blocked=F.col("m").isNotNull(), n_entries=F.coalesce("n_entries", F.lit(0)), by_key=F.col("m.key"), listed_since=F.col("m.valid_from"))

@@ -322,7 +322,7 @@ def test_blocks_are_written_one_by_one(spark, monkeypatch):
 
     told = []
     for module in (decontaminate, semantic):
-        monkeypatch.setattr(module, "stored", lambda df: told.append(1) or df.localCheckpoint(), raising=False)
+        monkeypatch.setattr(module, "stored", lambda df: told.append(1) or df.cache(), raising=False)
     decontaminate.mark(frame(spark, [words(40, 5)]), spark.createDataFrame([(1, words(40, 5))], "item_id long, text string"), block_windows=11).count()
     assert len(told) == 2  # 31 windows, three blocks
     r = np.random.default_rng(2)
