@@ -16,6 +16,9 @@ METRIC_STOPWORDS = (
     "the a an is was were are be been being have has had do does did will would could should may might shall can to of in on "
     "at by for with and or not but from that this it its as so if then when who what which there their they he she we you i "
     "no yes also about after before between into through during patient patients").split()
+# The notice of a context without a chunk, and the flags told in a header.
+NO_EVIDENCE = "No relevant evidence found in the document."
+CONTEXT_FLAGS = ("medication", "lab", "diagnosis", "vital")
 CITATION = r"\[([0-9]+)\]"
 WEIGHTS = {"faithfulness": 0.35, "relevance": 0.20, "precision": 0.20, "coverage": 0.15, "recall": 0.10}
 
@@ -24,11 +27,8 @@ def content_tokens(text: Column | str, stop: list[str] = METRIC_STOPWORDS) -> Co
     return F.array_except(tx.distinct_tokens(text), F.array(*[F.lit(w) for w in stop]))
 
 
-def assemble(results: DataFrame, budget: int, ordering: str = "score") -> DataFrame:
-    """Context chunks per query under a token budget.
-
-    ``results``: query_id, chunk_id, score, page_start, text.  Best row per
-    chunk, ordered, cut at the first chunk that overflows, numbered from 1."""
+def _ordered(results: DataFrame, ordering: str) -> DataFrame:
+    """Best row per chunk with its place ``pos`` and the tokens up to it."""
     key = ["query_id"]
     u = topk(results, ["query_id", "chunk_id"], [F.desc("score"), F.asc("page_start")], 1, "_d").drop("_d")
     u = u.withColumn("token_count", F.size(tx.words("text")))
@@ -45,22 +45,65 @@ def assemble(results: DataFrame, budget: int, ordering: str = "score") -> DataFr
     else:
         raise ValueError("ordering must be score, page or mixed")
     run = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("used_tokens", F.sum("token_count").over(run))
-    # token counts are not negative, so the first overflow cuts everything after
-    return u.filter(F.col("used_tokens") <= budget).withColumnRenamed("pos", "citation_number")
+    return u.withColumn("used_tokens", F.sum("token_count").over(run))
 
 
-def source_label(page_start: Column, page_end: Column, section: Column) -> Column:
-    pages = F.when(page_end > page_start, F.format_string("pp. %d-%d", page_start, page_end)).otherwise(F.format_string("p. %d", page_start))
-    return F.when(F.coalesce(section, F.lit("")) != "", F.concat_ws(", ", section, pages)).otherwise(pages)
-
+def assemble(results: DataFrame, budget: int, ordering: str = "score") -> DataFrame:
+    """Context chunks per query under a token budget.
 
-def format_context(chunks: DataFrame) -> DataFrame:
-    """Numbered context text per query (bounded by the token budget)."""
-    row = F.concat(F.lit("["), F.col("citation_number").cast("string"), F.lit("] "), F.col("text"))
-    g = chunks.select("query_id", "citation_number", row.alias("t")).groupBy("query_id")
-    rows = F.array_sort(F.collect_list(F.struct("citation_number", "t")))
-    return g.agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("formatted_text"))
+    ``results``: query_id, chunk_id, score, page_start, text.  Best row per
+    chunk, ordered, cut at the first chunk that overflows, numbered from 1."""
+    # token counts are not negative, so the first overflow cuts everything after
+    return _ordered(results, ordering).filter(F.col("used_tokens") <= budget).withColumnRenamed("pos", "citation_number")
+
+
+def source_label(page_start: Column, page_end: Column, section: Column, sentence_index: Column | None = None) -> Column:
+    """``Sentence 3 | Pages 2-4 | section``, pages and sentences counted from one;
+    parts that are null or empty are left out."""
+    first, last = F.coalesce(page_start, F.lit(0)), F.coalesce(page_end, page_start, F.lit(0))
+    number = lambda c: (c + 1).cast("int").cast("string")
+    pages = F.when(first == last, F.concat(F.lit("Page "), number(first))).otherwise(F.concat(F.lit("Pages "), number(first), F.lit("\u2013"), number(last)))
+    sentence = F.lit(None) if sentence_index is None else F.concat(F.lit("Sentence "), number(sentence_index))
+    return F.concat_ws(" | ", sentence, pages, F.when(section != "", section))
+
+
+def _block(chunks: DataFrame, number: str, flags: bool) -> Column:
+    """A chunk as an evidence block: its header between two rules, then its text."""
+    has = lambda c, kind: F.col(c) if c in chunks.columns else F.lit(None).cast(kind)
+    label = source_label(has("page_start", "int"), has("page_end", "int"), has("section", "string"), has("sentence_index", "int"))
+    told = F.concat_ws(", ", *[F.when(has(f"contains_{f}", "boolean"), F.lit(f)) for f in CONTEXT_FLAGS]) if flags else F.lit("")
+    header = F.concat(F.lit("["), F.col(number).cast("string"), F.lit("] "), label, F.when(told != "", F.concat(F.lit(" ("), told, F.lit(")"))).otherwise(""))
+    rule = F.repeat(F.lit("\u2500"), F.least(F.lit(60), F.length(header) + 4))
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$", "")
+    return F.concat_ws("\n", rule, header, rule, body)
+
+
+def _joined(blocks: Column) -> Column:
+    return F.regexp_replace(F.array_join(F.transform(F.array_sort(blocks), lambda r: r["t"]), "\n\n"), "\n+$", "")
+
+
+def format_context(chunks: DataFrame, flags: bool = True) -> DataFrame:
+    """Context text per query (bounded by the token budget): an evidence block
+    for each chunk, in citation order.  ``page_start``, ``page_end``, ``section``,
+    ``sentence_index`` and the ``contains_`` flags enter where they are given."""
+    g = chunks.select("query_id", F.struct("citation_number", _block(chunks, "citation_number", flags).alias("t")).alias("b")).groupBy("query_id")
+    return g.agg(_joined(F.collect_list("b")).alias("formatted_text"))
+
+
+def contexts(queries: DataFrame, results: DataFrame, budget: int, ordering: str = "score", flags: bool = True) -> DataFrame:
+    """One row per query: ``formatted_text``, ``total_tokens``, ``truncated``,
+    ``truncated_count`` (chunks left out by the budget) and ``citation_map``
+    (chunk_id to number).  A query without a chunk gets the fixed notice."""
+    u = _ordered(results, ordering)
+    fits = F.col("used_tokens") <= budget
+    # only what fits carries its text into the aggregate
+    u = u.select("query_id", "token_count", fits.alias("fits"), F.when(fits, F.struct("pos", _block(u, "pos", flags).alias("t"), "chunk_id")).alias("b"))
+    g = u.groupBy("query_id").agg(F.sum(F.when(F.col("fits"), F.col("token_count"))).alias("total"), F.count_if(~F.col("fits")).alias("cut"), F.collect_list("b").alias("b"))
+    out = queries.select("query_id").join(g, "query_id", "left")
+    cited = F.map_from_entries(F.transform(F.array_sort("b"), lambda r: F.struct(r["chunk_id"], r["pos"])))
+    return out.select("query_id", F.when(F.size("b") > 0, _joined(F.col("b"))).otherwise(F.lit(NO_EVIDENCE)).alias("formatted_text"),
+                      F.coalesce("total", F.lit(0)).cast("bigint").alias("total_tokens"), (F.coalesce("cut", F.lit(0)) > 0).alias("truncated"),
+                      F.coalesce("cut", F.lit(0)).alias("truncated_count"), cited.alias("citation_map"))
 
 
 def citation_numbers(answer: Column) -> Column:

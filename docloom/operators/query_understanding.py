@@ -45,6 +45,10 @@ QUERY_TYPES = [
     ("comparison", r"\b(compar\w+|chang\w+|differ\w+|better|worse|improv\w+|deterior\w+|progress\w+|trend\w*|vs\.?\b|versus)\b"),
     ("synthesis", r"\b(summar\w+|overview|overall|explain|descri\w+|tell me about|what is the|clinical picture|status)\b"),
 ]
+# Medications and sections that a query may name.
+QUERY_MEDICATIONS = ["metformin", "lisinopril", "aspirin", "atorvastatin", "amlodipine", "omeprazole", "metoprolol", "losartan", "enalapril",
+                     "warfarin", "heparin", "insulin", "prednisone", "amoxicillin", "azithromycin", "hydrochlorothiazide", "furosemide", "simvastatin"]
+QUERY_SECTIONS = ["assessment", "plan", "history", "examination", "medications", "labs", "vitals", "diagnosis", "impression", "hpi", "pmh", "ros"]
 
 
 def expand_text(q: Column, table: dict[str, str] | None = None) -> Column:
@@ -66,14 +70,22 @@ def classify(q: Column) -> Column:
     return F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for n, p in QUERY_TYPES], F.lit("factual"))
 
 
-def query_entities(q: Column) -> Column:
-    """Capitalised phrases and numbers with units."""
-    caps = F.regexp_extract_all(q, F.lit("(?<![0-9A-Za-z_])[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})*"), F.lit(0))
-    nums = F.regexp_extract_all(q, F.lit("[0-9]+(?:[.][0-9]+)? ?(?:mg|mcg|ml|mmol|bpm|mmHg|%)"), F.lit(0))
-    return F.array_distinct(F.concat(caps, nums))
+def _named(q: Column, names: list[str]) -> Column:
+    return F.transform(F.regexp_extract_all(q, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}_])({'|'.join(names)})(?![\p{{L}}\p{{N}}_])"), F.lit(1)), F.lower)
+
+
+def query_entities(q: Column, table: dict[str, str] | None = None, medications: list[str] | None = None) -> Column:
+    """Struct of ``medications`` (each mention, in order), ``diagnoses`` and
+    ``labs`` (none are looked for), ``sections`` (once each, in order) and
+    ``abbreviations_found`` (in the table's order).  A null query has none."""
+    none = F.expr("cast(array() as array<string>)")
+    q = F.coalesce(q, F.lit(""))
+    short = [F.when(q.rlike(rf"(?<![\p{{L}}\p{{N}}_])\Q{a}\E(?![\p{{L}}\p{{N}}_])"), F.lit(a)) for a in (table or QUERY_ABBREVIATIONS)]
+    return F.struct(_named(q, medications or QUERY_MEDICATIONS).alias("medications"), none.alias("diagnoses"), none.alias("labs"),
+                    F.array_distinct(_named(q, QUERY_SECTIONS)).alias("sections"), F.array_compact(F.array(*short)).alias("abbreviations_found"))
 
 
 def process(queries: DataFrame) -> DataFrame:
-    """Expanded text, type and entities per query."""
+    """Query understanding: the query's variants, type and entities."""
     q = F.col("query")
-    return queries.select("query_id", "query", expand_text(q).alias("expanded"), classify(q).alias("query_type"), query_entities(q).alias("entities"))
+    return queries.select("query_id", "query", F.array_distinct(F.array(q, expand_text(q))).alias("expanded"), classify(q).alias("query_type"), query_entities(q).alias("entities"))

@@ -34,7 +34,7 @@ def extractive_answer(prompts: DataFrame) -> DataFrame:
     """Offline generator: first sentence of the first context chunk, cited."""
     from docloom.functions import text as tx
 
-    first = F.get(tx.sentences(F.regexp_replace("formatted_text", "^\\[1\\] ", "")), F.lit(0))
+    first = F.get(tx.sentences(F.regexp_replace("formatted_text", "^\u2500+\n[^\n]*\n\u2500+\n", "")), F.lit(0))
     return prompts.select("query_id", F.concat(first, F.lit(" [1]")).alias("answer"))
 
 

@@ -293,6 +293,30 @@ def _(spark, d):
                                      "clinical_importance_score", "clinical_quality_score")
 
 
+_FOCUS = [w for f in V.FOCUS.values() for w in f[3]]
+
+
+def _focus_sql(name):
+    sections, types, of_types, vocab, of_words, inside = V.FOCUS[name]
+    met = f"len(list_filter({vocab!r}, lambda x: contains(low, x)))" if inside else f"len(list_intersect({vocab!r}, string_split_regex(low, '[ \\t\\n\\r\\f]+')))"
+    return f"""(coalesce(section in ({", ".join(repr(s) for s in sections)}), false) or (select count(*) from ents e where e.doc_idx = t.doc_id and entity_type in ({", ".join(repr(s) for s in types)})) >= {of_types} or {met} >= {of_words}) as {name}"""
+
+
+# Whole documents, each with four words of the lists behind its text.
+@query("n8_focus", S.select([S.UNITS, f"""tx as (select doc_id, lower(coalesce(text, '') || ' ' || array_to_string(list_transform(range(0, 4), lambda i: ({_FOCUS!r})[((doc_id * 5 + i * 3) % {len(_FOCUS)})::int + 1]), ' ')) as low from documents)""",
+    "u as (select *, regexp_replace(low, '[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]', 'q', 'g') as plain from tx)",  # \\b there knows ASCII letters only
+    "t as (select *, case " + " ".join(f"when regexp_matches(plain, $${p}$$) then '{k}'" for p, k in V.INFER_SECTION) + " end as section from u)"],
+    "select doc_id, section, " + ", ".join(map(_focus_sql, V.FOCUS)) + " from t"))
+def _(spark, d):
+    words = F.array(*[F.lit(w) for w in _FOCUS])
+    tail = [F.element_at(words, ((F.col("doc_id") * 5 + i * 3) % len(_FOCUS) + 1).cast("int")) for i in range(4)]
+    kinds = F.transform("e", lambda x: x["entity_type"])
+    counts = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
+    t = inp.documents(spark, d).select("doc_id", F.lower(F.concat_ws(" ", F.coalesce("text", F.lit("")), *tail)).alias("low"), inp.derived_entities().alias("e"))
+    t = t.withColumn("section", F.coalesce(*[F.when(F.col("low").rlike(p), F.lit(k)) for p, k in V.INFER_SECTION]))
+    return t.select("doc_id", "section", *[c.alias(n) for n, c in en.focus_flags(F.col("low"), counts, F.col("section")).items()])
+
+
 @query("n11_top_entities")
 def _(spark, d):
     g = en.entity_aggregates(gathered(spark, d), 30)

@@ -221,6 +221,47 @@ def _(spark, d):
     return gen.assemble(context_rows(spark, d), 3000).select("query_id", "chunk_id", "token_count", "citation_number", "used_tokens")
 
 
+def labelled_rows(spark, d):
+    """Hits with the pages, section and flags of their units."""
+    u = inp.units(spark, d).select("doc_idx", "page_start", "page_end", F.col("primary_section").alias("section"),
+                                   *[f"contains_{f}" for f in gen.CONTEXT_FLAGS], "text")
+    return bm25_base(spark, d, 20).join(u, "doc_idx").withColumnRenamed("doc_idx", "chunk_id")
+
+
+_STRIP = "regexp_replace(coalesce(text, ''), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
+
+
+@query("g8_context", S.select([S.LEX, S.bm25_ctes(20), DOCW, S.UNITS, f"""gb as (select query_id, rank, n, sum(n) over (partition by query_id order by rank) <= 3000 as fits,
+  '[' || rank || '] ' || case when page_start = page_end then 'Page ' || (page_start + 1) else 'Pages ' || (page_start + 1) || '\u2013' || (page_end + 1) end
+   || coalesce(' | ' || nullif(primary_section, ''), '') || coalesce(' (' || nullif(concat_ws(', ', {", ".join(f"case when contains_{f} then '{f}' end" for f in gen.CONTEXT_FLAGS)}), '') || ')', '') as header,
+  {_STRIP} as body from bm25 join docw on document_id = doc_idx join units using (doc_idx))""",
+    "gt as (select query_id, string_agg(repeat('\u2500', least(60, length(header) + 4)) || chr(10) || header || chr(10) || repeat('\u2500', least(60, length(header) + 4)) || chr(10) || body, chr(10) || chr(10) order by rank) filter (fits) as t, "
+    "coalesce(sum(n) filter (fits), 0)::bigint as total_tokens, count(*) filter (not fits) as truncated_count from gb group by 1)"],
+    f"select item_id as query_id, coalesce(rtrim(t, chr(10)), '{gen.NO_EVIDENCE}') as formatted_text, coalesce(total_tokens, 0)::bigint as total_tokens, coalesce(truncated_count, 0) > 0 as truncated, coalesce(truncated_count, 0)::bigint as truncated_count from benchmark left join gt on query_id = item_id"))
+def _(spark, d):
+    return gen.contexts(inp.queries(spark, d), labelled_rows(spark, d), 3000).drop("citation_map")
+
+
+_ASK = [*qu.QUERY_MEDICATIONS, *qu.QUERY_SECTIONS]
+_SHORT = list(qu.QUERY_ABBREVIATIONS)
+# those with a mark inside are no single word
+_MARKED = "[" + ", ".join(f"case when regexp_matches(q, '(^|[^\\pL\\pN_]){a}($|[^\\pL\\pN_])') then '{a}' end" for a in _SHORT if not a.isalnum()) + "]"
+_RE = lambda names: "regexp_extract_all(q, '(?i)\\b(" + "|".join(names) + ")\\b')"
+
+
+@query("g3_entities", f"""with a as (select conv_id, turn, coalesce(text, '') || ' ' || upper(({_ASK!r})[(conv_id % {len(_ASK)})::int + 1]) || ' plan, ' || ({_SHORT!r})[(turn * 7 + conv_id)::int % {len(_SHORT)} + 1] || ' Plan' as q from conversations),
+ b as (select *, regexp_extract_all(q, '[\\pL\\pN_]+') || {_MARKED} as w from a)
+ select conv_id, turn, lower(array_to_string({_RE(qu.QUERY_MEDICATIONS)}, ',')) as medications,
+  (select string_agg(s, ',' order by i) from (select s, min(i) as i from (select unnest(list_transform({_RE(qu.QUERY_SECTIONS)}, lambda x: lower(x))) as s, generate_subscripts({_RE(qu.QUERY_SECTIONS)}, 1) as i) group by s)) as sections,
+  array_to_string(list_filter({_SHORT!r}, lambda k: list_contains(w, k)), ',') as abbreviations from b""")
+def _(spark, d):
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i % len(names) + 1).cast("int"))
+    c = inp.table(spark, d, "conversations")
+    asked = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.upper(pick(_ASK, F.col("conv_id"))), F.lit(" plan, "), pick(_SHORT, F.col("turn") * 7 + F.col("conv_id")), F.lit(" Plan"))
+    p = c.select("conv_id", "turn", qu.query_entities(asked).alias("e"))
+    return p.select("conv_id", "turn", *[F.array_join(f"e.{f}", ",").alias(n) for f, n in (("medications", "medications"), ("sections", "sections"), ("abbreviations_found", "abbreviations"))])
+
+
 def answers(spark, d):
     """Replies of the benchmark as answers: each passage cites chunk 1."""
     return inp.queries(spark, d).select("query_id", "query", F.concat("query", F.lit(" [1]")).alias("answer"))
