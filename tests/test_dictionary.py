@@ -49,3 +49,18 @@ def test_negation_is_scoped(spark):
     df = spark.createDataFrame(rows, "text string, entity string, want boolean")
     got = df.select("want", xt.is_negated(F.col("text"), F.col("entity")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_terms_that_begin_alike(spark):
+    ws = ["the " + "abcdefghij"[i // 10] + " " + "abcdefghij"[i % 10] for i in range(100)]
+    text = spark.createDataFrame([(1, 2, 0, None, "The a b the j j, the"), (1, 2, 0, None, "the c d"), (1, 2, 0, None, "the c d"), (None, 3, 0, None, "the the e f")],
+                                 "document_id long, element_id long, page_number int, section_name string, text string")
+    places = xt.term_places(text, terms(spark, *ws))
+    assert sorted((r.element_id, r["at"], r.n, r.term) for r in places.collect()) == [
+        (2, 0, 3, "the a b"), (2, 0, 3, "the c d"), (2, 0, 3, "the c d"), (2, 3, 3, "the j j"), (3, 1, 3, "the e f")]
+    plan = places._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(n" not in plan  # no list of all the terms that begin alike
+    with_text = xt.dictionary_entities(text, terms(spark, *ws), "term", 0.5)
+    without = xt.dictionary_entities(text, terms(spark, *ws), "term", 0.5, text=False)
+    assert "text" not in without.columns
+    assert sorted(with_text.drop("text").collect(), key=repr) == sorted(without.collect(), key=repr) and without.count() == 3
