@@ -1,5 +1,7 @@
 """Dictionary matching, medication and laboratory parts, scoped negation."""
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from docloom.operators import extraction as xt
@@ -64,3 +66,12 @@ def test_terms_that_begin_alike(spark):
     without = xt.dictionary_entities(text, terms(spark, *ws), "term", 0.5, text=False)
     assert "text" not in without.columns
     assert sorted(with_text.drop("text").collect(), key=repr) == sorted(without.collect(), key=repr) and without.count() == 3
+
+
+def test_rules_skip_lines_without_what_they_need(spark):
+    texts = ["Take metformin 500 mg, lisinopril", "BP: 120/80, MRN: A1234 DOB: 1/2/1950", "history of asthma, on 3 March 2024", "Chest X-RAY after ARTHROSCOPY", "allergic to dust. 45 y/o woman", None, ""]
+    rs = [r for r in xt.rules() if r.entity_type != "allergy" or not r.only]
+    bare = [dataclasses.replace(r, needs=(), digit=False) for r in rs]
+    assert sum(bool(r.needs or r.digit) for r in rs) > 40
+    got = [sorted(map(repr, xt.pattern_entities(lines(spark, *texts), x).collect())) for x in (rs, bare)]
+    assert got[0] == got[1] and len(got[0]) >= 10
